@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from latticework.llm import leakage, pieces, spans, survivors, tokens
+from latticework.llm import leakage, neighbors, pieces, spans, survivors, tokens
 from latticework.sources.tables import table
 
 
@@ -28,6 +29,21 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_items(pieces.once_per_page(table(spark, d, "chart_entry", "ori_id", "context")))
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "entity", "record_id", F.col("attributes.embedding").alias("vector"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records with a similarity of at least 0.9 of which one is among the 5 most similar of the other."""
+    return neighbors.close_pairs(_vectors(spark, d))
+
+
+def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar records of every record whose id is divisible by 100, among all records, exactly."""
+    found = neighbors.nearest(_vectors(spark, d), queries=F.col("record_id") % 100 == 0)
+    return found.select("query", "other", "rank")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
@@ -59,6 +75,8 @@ QUERIES = {
     "p2_survivors": p2_survivors,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_nearest": p5_nearest,
     "p6_ids": p6_ids,
     "p7_clean": p7_clean,
     "p7_found": p7_found,
@@ -67,6 +85,24 @@ QUERIES = {
 }
 
 SQL = {
+    "p5_nearest": """
+        WITH v AS (SELECT record_id, any_value(e) AS e FROM (SELECT record_id, CAST(attributes.embedding AS DOUBLE[]) AS e FROM entity)
+                   WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+                   GROUP BY record_id),
+        s AS (SELECT a.record_id AS query, b.record_id AS other, round(list_cosine_similarity(a.e, b.e), 7) AS sim
+              FROM v a JOIN v b ON a.record_id <> b.record_id WHERE a.record_id % 100 = 0)
+        SELECT query, other, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, other) AS INTEGER) AS rank FROM s)
+        WHERE rank <= 5""",
+    "p7_found": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[\x{ad}\x{200b}-\x{200f}\x{2060}-\x{206f}\x{feff}]', '', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
+        e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_item),
+        dg AS (SELECT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+        eg AS (SELECT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
+    "p8_found": """
+        WITH w AS (SELECT DISTINCT doc_id, hash(substring(text, CAST(i AS INTEGER), 360)) AS h
+                   FROM (SELECT doc_id, text, unnest(range(1, length(text) - 358)) AS i FROM documents WHERE length(text) >= 360))
+        SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id""",
     "p4_found": r"""
         WITH pages AS (SELECT DISTINCT ori_id, context FROM chart_entry),
         items AS (SELECT ori_id, unnest(context) AS item, unnest(range(len(context))) AS item_no FROM pages)
