@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import leakage, neighbors, pieces, spans, survivors, tokens
+from latticework.llm import leakage, neighbors, pairs, pieces, spans, survivors, tokens
 from latticework.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks whose answer is no usable answer, with the kind of defect."""
+    return pairs.defective_pairs(table(spark, d, "qa_task", "task_id", "query", "answer"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The record each field of an entity with several records is taken from."""
     return survivors.winners_long(table(spark, d, "entity"))
@@ -71,6 +76,7 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_survivors": p2_survivors,
     "p4_found": p4_found,
