@@ -31,6 +31,9 @@ SHARD_ROWS = 24_000
 
 LEAF = 192
 
+#: Groups of equal vectors larger than this are represented by their smallest ids.
+COPIES = 64
+
 
 def usable(vector: Column, dim: int = DIM) -> Column:
     """Whether a vector has ``dim`` finite values and is not all zero; false for null."""
@@ -138,13 +141,36 @@ def home(node: Node, q: np.ndarray) -> Iterator[tuple[object, np.ndarray]]:
         todo += [(at.near, rows[near]), (at.far, rows[~near])]
 
 
-def _best(sims: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the entries of at least ``floor``, at most about ``k`` (and ties) of each row."""
-    if floor > -1.0:
-        return np.nonzero(sims >= floor)
-    k = min(k, sims.shape[1])
-    least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k, None]
-    return np.nonzero(sims >= least)
+class _Best:
+    """The best rows found so far for each query, in memory bounded by the number of queries."""
+
+    def __init__(self, x: np.ndarray, q: np.ndarray, k: int, floor: float):
+        self.x, self.q = x, q
+        self.keep = k + 17  # itself, and rows that single precision cannot tell from the k-th
+        self.sims = np.full((len(q), self.keep), floor, dtype=np.float32)
+        self.rows = np.full((len(q), self.keep), -1, dtype=np.int64)
+        self.lowest = self.sims[:, 0].copy()
+
+    def offer(self, rows: np.ndarray, at: np.ndarray) -> None:
+        for start in range(0, len(at), 4096):
+            for first in range(0, len(rows), 8192):
+                self._offer(rows[first : first + 8192], at[start : start + 4096])
+
+    def _offer(self, rows: np.ndarray, at: np.ndarray) -> None:
+        sims = self.q[at] @ self.x[rows].T
+        hit = np.flatnonzero(sims.max(axis=1) > self.lowest[at])
+        if not len(hit):
+            return
+        at = at[hit]
+        both = np.concatenate([self.sims[at], sims[hit]], axis=1)
+        who = np.concatenate([self.rows[at], np.broadcast_to(rows, (len(at), len(rows)))], axis=1)
+        top = np.argpartition(-both, self.keep - 1, axis=1)[:, : self.keep]
+        self.sims[at] = np.take_along_axis(both, top, axis=1)
+        self.rows[at] = np.take_along_axis(who, top, axis=1)
+        self.lowest[at] = self.sims[at].min(axis=1)
+
+    def kth(self, k: int) -> np.ndarray:
+        return np.partition(self.sims, self.keep - k - 1, axis=1)[:, self.keep - k - 1]
 
 
 def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, floor: float, relax: float, seed: int) -> pd.DataFrame:
@@ -153,30 +179,24 @@ def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
     if not len(ids) or not len(qids):
         return none
     tree = grow_tree(x, LEAF, seed)
-    loose = floor - 1e-5 if floor > -1.0 else -1.0
-    radius = np.full(len(q), np.arccos(max(loose, -1.0)))
-    for rows, at in home(tree, q):  # the k-th best of the home leaf bounds the radius
-        sims = q[at] @ x[rows].T
-        if sims.shape[1] > k + 1:
-            kth = np.partition(sims, sims.shape[1] - k - 1, axis=1)[:, sims.shape[1] - k - 1]
-            radius[at] = np.minimum(radius[at], np.arccos(np.clip(kth - 1e-5, -1, 1)))
-    found_q, found_x = [], []
+    loose = floor - 1e-5 if floor > -1.0 else -2.0
+    best, at_home = _Best(x, q, k, loose), np.zeros(len(q), dtype=np.int64)
+    for rows, at in home(tree, q):
+        best.offer(rows, at)
+        at_home[at] = id(rows)
+    radius = np.arccos(np.clip(best.kth(k) - 1e-5, -1.0, 1.0))  # the k-th best so far bounds the search
     for rows, at in reach(tree, q, radius, relax):
-        for start in range(0, len(at), 4096):
-            part = at[start : start + 4096]
-            i, j = _best(q[part] @ x[rows].T, k + 1, loose)
-            found_q.append(part[i])
-            found_x.append(rows[j])
-    if not found_q:
-        return none
-    a, b = np.concatenate(found_q), np.concatenate(found_x)
+        best.offer(rows, at[at_home[at] != id(rows)])
+    a, column = np.nonzero(best.rows >= 0)
+    b = best.rows[a, column]
     different = qids[a] != ids[b]
     a, b = a[different], b[different]
-    sim = np.einsum("ij,ij->i", q[a].astype(np.float64), x[b].astype(np.float64))
+    sim = np.empty(len(a))
+    for s in range(0, len(a), 50_000):
+        sim[s : s + 50_000] = np.einsum("ij,ij->i", q[a[s : s + 50_000]].astype(np.float64), x[b[s : s + 50_000]].astype(np.float64))
     out = pd.DataFrame({"query": qids[a], "other": ids[b], "sim": sim})
-    out = out[out["sim"] >= loose] if floor > -1.0 else out
-    out = out.drop_duplicates(["query", "other"]).sort_values(["query", "sim", "other"], ascending=[True, False, True])
-    return out[out.groupby("query").cumcount() < k]
+    out = out[out["sim"] >= loose].sort_values(["query", "sim", "other"], ascending=[True, False, True])
+    return out[out.groupby("query").cumcount() < k + 8]
 
 
 def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, relax: float = 1.0, shard_relax: float | None = None, trees: int = 1, queries: Column | None = None, dim: int = DIM, seed: int = 7) -> DataFrame:
@@ -190,7 +210,22 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, relax: float =
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col("vector"), dim)).select("record_id", "vector")
     rows = rows.withColumn("asks", F.lit(True) if queries is None else F.coalesce(queries, F.lit(False)))
-    n = rows.count()
+    rows = rows.withColumn("same", F.xxhash64("vector"))
+    sizes = rows.groupBy("same").agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    n, spare = total.n or 0, None
+    if n and total.most > COPIES:
+        # of very many equal vectors the k + 1 smallest ids are the nearest of all the others
+        many = sizes.where(F.col("n") > COPIES).select("same")
+        by_id = Window.partitionBy("same").orderBy("record_id")
+        few = rows.select("same", "record_id").join(many, "same").distinct().withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
+        few = materialize(few.select("same", F.col("record_id").alias("other")), "copies")
+        spare = rows.select("same", "record_id", "asks").join(many, "same").join(few, F.col("record_id") == F.col("other"), "left_anti")
+        first = few.groupBy("same").agg(F.array_sort(F.collect_list("other")).alias("others"))  # k + 1 ids at most
+        spare = spare.where("asks").distinct().join(first, "same").select(F.col("record_id").alias("query"), F.explode(F.slice("others", 1, k)).alias("other"), F.lit(1.0).alias("sim"))
+        rows = rows.join(many, "same", "left_anti").unionByName(rows.join(few, (rows.record_id == few.other), "left_semi"))
+        n = rows.count()
+    rows = rows.drop("same")
     depth = max(2, int(np.ceil(np.log2(max(1, n) / SHARD_ROWS)))) if n else 0
     fraction = min(1.0, SAMPLE / max(1, n))
     sample = rows.select("vector") if fraction >= 1.0 else rows.sample(fraction * 0.9, seed).select("vector")
@@ -232,6 +267,8 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, relax: float =
     found = cells.groupBy("cell").applyInPandas(search, "query bigint, other bigint, sim double")
     sim = F.round("sim", 7)  # single-precision unit rows: equal vectors may differ beyond that
     best = Window.partitionBy("query").orderBy(F.col("s").desc(), "other")
+    if spare is not None:
+        found = found.unionByName(spare)
     once = found.groupBy("query", "other").agg(F.max("sim").alias("sim")).withColumn("s", sim)
     once = once.where(F.col("s") >= floor) if floor > -1.0 else once
     return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "other", "sim", "rank")

@@ -91,6 +91,39 @@ QUERIES = {
 }
 
 SQL = {
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_nearest": p5_nearest,
+    "p6_ids": p6_ids,
+    "p7_clean": p7_clean,
+    "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
+}
+
+SQL = {
+    "p2_found": r"""
+        WITH r AS (SELECT DISTINCT record_id, updated_at, attributes.description AS d, attributes.confidence AS c, source,
+                   regexp_replace(strip_accents(lower(translate(name, 'ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ０１２３４５６７８９',
+                       'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789'))), '[^\p{L}\p{N}]', '', 'g') AS k FROM entity WHERE name IS NOT NULL),
+        g AS (SELECT *, min(record_id) OVER (PARTITION BY k) AS group_id, max(record_id) OVER (PARTITION BY k) AS top,
+              len(list_distinct(list_filter(list_transform(source, lambda x: trim(x)), lambda x: x IS NOT NULL AND x <> ''))) AS n_ids,
+              regexp_replace(d, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t FROM r WHERE k <> ''),
+        h AS (SELECT *, t IS NOT NULL AND regexp_matches(t, '[.!?][”")]*$') AND NOT regexp_matches(t, '\.\.[”")]*$')
+              AND regexp_matches(t, '[A-Za-z]') AND lower(t) NOT IN ('unknown.') AND NOT regexp_matches(lower(t),
+              '^(no description|the source text does not|nothing is said|there is no description|description not provided)|description pending|no details extracted') AS fine
+              FROM g WHERE group_id < top)
+        SELECT group_id, 'description' AS field, record_id FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY updated_at DESC NULLS LAST, record_id) AS n FROM h WHERE fine) WHERE n = 1
+        UNION ALL SELECT group_id, 'confidence', record_id FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY c DESC, updated_at DESC NULLS LAST, record_id) AS n FROM h WHERE c BETWEEN 0 AND 1 AND NOT isnan(c)) WHERE n = 1
+        UNION ALL SELECT group_id, 'source', record_id FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n_ids DESC, updated_at DESC NULLS LAST, record_id) AS n FROM h WHERE n_ids > 0) WHERE n = 1""",
+    "p5_found": """
+        WITH v AS (SELECT record_id, any_value(e) AS e FROM (SELECT record_id, CAST(attributes.embedding AS DOUBLE[]) AS e FROM entity)
+                   WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+                   GROUP BY record_id),
+        s AS (SELECT a.record_id AS a, b.record_id AS b, round(list_cosine_similarity(a.e, b.e), 7) AS sim FROM v a JOIN v b ON a.record_id <> b.record_id)
+        SELECT DISTINCT least(a, b) AS rec_a, greatest(a, b) AS rec_b
+        FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM s WHERE sim >= 0.9) WHERE r <= 5""",
     "p5_nearest": """
         WITH v AS (SELECT record_id, any_value(e) AS e FROM (SELECT record_id, CAST(attributes.embedding AS DOUBLE[]) AS e FROM entity)
                    WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
