@@ -76,8 +76,7 @@ def _w22(spark, d):
 
 
 def _w23(spark, d):
-    rows = responses(spark, d).where("ord = 1")
-    return rows.select("g", F.array_join(A.scatter_last(F.col("len").cast("int"), F.col("s")).cast("array<int>"), ",").alias("scores"))
+    return responses(spark, d).select("g", "ord", F.array_join(A.scatter_last(F.col("len").cast("int"), F.col("s")).cast("array<int>"), ",").alias("scores"))
 
 
 QUERIES = {
@@ -177,6 +176,6 @@ SQL = {
     "w22_concat_turns": f"""WITH {_TURN_BASE}, x AS (SELECT *, max(turn) OVER (PARTITION BY g, traj) AS n FROM e)
         SELECT g, traj, 'p1' AS prompt, string_agg('r' || turn || ' e' || CASE WHEN turn < n THEN ' p' || (turn + 1) ELSE '' END, ' ' ORDER BY turn) AS response,
                string_agg(CASE WHEN turn < n THEN '110' ELSE '11' END, '' ORDER BY turn) AS mask, {r("max_by(value / 100, turn)")} AS info FROM x GROUP BY g, traj""",
-    "w23_scatter_last": f"WITH {RESPONSES} SELECT g, array_to_string(list_transform(range(1, len + 1), lambda i: CASE WHEN i = len THEN CAST(s AS INTEGER) ELSE 0 END), ',') AS scores FROM sc WHERE ord = 1",
+    "w23_scatter_last": f"WITH {RESPONSES} SELECT g, ord, array_to_string(list_transform(range(1, len + 1), lambda i: CASE WHEN i = len THEN CAST(s AS INTEGER) ELSE 0 END), ',') AS scores FROM sc",
     "a11_group_stats": f"WITH {RESPONSES} SELECT g, ord, count(s) {_W} AS n, {r(_MEAN)} AS mean, {r(f'CASE WHEN count(s) {_W} > 1 THEN sqrt(greatest(var_samp(s) {_W}, 1e-6)) ELSE 1 END')} AS std FROM sc",
 }
