@@ -81,8 +81,8 @@ def best_of(df: DataFrame, uid: str, value: str) -> DataFrame:
     largest of n draws with probability (i/N)^n - ((i-1)/N)^n.
     """
     lists = df.where(C(value).isNotNull()).groupBy(uid).agg(F.array_sort(F.collect_list(C(value).cast("double"))).alias("x"))
-    rows = lists.withColumn("N", F.size("x")).withColumn("n", F.explode(draws(C("N"))))
-    p = lambda i: F.pow(i / C("N"), C("n"))
+    rows = lists.withColumn("_size", F.size("x")).withColumn("n", F.explode(draws(C("_size"))))
+    p = lambda i: F.pow(i / C("_size"), C("n"))
     expected = lambda xs: F.aggregate(F.transform(xs, lambda v, i: v * (p(i + 1) - p(i))), F.lit(0.0), lambda a, b: a + b)
     flipped = F.transform(F.reverse("x"), lambda v: -v)
     return rows.select(uid, "n", expected(C("x")).alias("best"), (-expected(flipped)).alias("worst"))
