@@ -247,25 +247,24 @@ def weighted_edges(edges: DataFrame, down: bool = False, moves: dict[str, float]
     return rows.withColumn("w", F.greatest(kind * level_weight(C("move"), C("rise"), down) * rarity(C("n")), F.lit(1e-12))).drop("n")
 
 
-def page_rank(edges: DataFrame, nodes_: DataFrame, restart: float = 0.18, steps: int = 10, every: int = 4) -> DataFrame:
+def page_rank(edges: DataFrame, nodes_: DataFrame, restart: float = 0.18, steps: int = 10) -> DataFrame:
     """(id, score): power iteration over out-edges weighted by ``w``, restarting evenly on all nodes.
 
-    Nodes without out-edges hand their score back to the restart. Each step is one join and one aggregation; state is
-    written to the shared folder every few steps.
+    Nodes without out-edges hand their score back to the restart. Each step is one join and one aggregation, written
+    to the shared folder, so neither the step nor its total is computed twice.
     """
     ids = materialize(nodes_.select("id").distinct(), "nodes")
     n = ids.count()
     if not n:
         return ids.withColumn("score", F.lit(0.0))
+    edges = materialize(edges.select("cur", "next", "w"), "weights")
     total = edges.groupBy("cur").agg(F.sum("w").alias("t"))
     p = materialize(edges.groupBy("cur", "next").agg(F.sum("w").alias("w")).join(total, "cur").select("cur", "next", (C("w") / C("t")).alias("p")), "steps")
     score = ids.withColumn("score", F.lit(1.0 / n))
-    for step in range(1, steps + 1):
-        flow = p.join(score, C("cur") == C("id")).groupBy(C("next").alias("id")).agg(F.sum(C("p") * C("score")).alias("f"))
+    for _ in range(steps):
+        flow = materialize(p.join(score, C("cur") == C("id")).groupBy(C("next").alias("id")).agg(F.sum(C("p") * C("score")).alias("f")), "flow")
         moved = flow.agg(F.coalesce(F.sum("f"), F.lit(0.0)).alias("x")).scalar()
         score = ids.join(flow, "id", "left").select("id", ((1 - restart) * (F.coalesce("f", F.lit(0.0)) + (1 - moved) / n) + restart / n).alias("score"))
-        if step % every == 0:
-            score = materialize(score, "score")
     return score
 
 

@@ -7,6 +7,8 @@ while their size is within a checked bound; beyond it items are shuffled to the
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,10 @@ BLOCK = 1024
 BROADCAST_QUERIES = 8_192
 
 
+#: (term, query) entries of a query set that are broadcast at most.
+BROADCAST_TERMS = 100_000
+
+
 def _matrix(column: pd.Series, dim: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, dim))
 
@@ -106,11 +112,13 @@ def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), 0)).alias("term"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 0.9, b: float = 0.4, digits: int = 4) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 0.9, b: float = 0.4, digits: int = 4, most: int = BROADCAST_TERMS) -> DataFrame:
     """(qid, doc_id, score, rank): the ``k`` documents of the highest BM25 score for each query.
 
     ``docs`` has (doc_id, text), ``queries`` (qid, text). Term statistics cover all documents; each distinct query term
-    counts once; ties by smaller doc_id. Only postings of query terms are joined, after the term counts are combined.
+    counts once; ties by smaller doc_id. While the queries' (term, query) entries are within ``most`` their matrix is
+    broadcast and documents are scored in blocks, each block keeping its best ``k`` per query; beyond it postings of
+    query terms are joined with the queries.
     """
     tf = terms(docs, "doc_id", "text").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     sizes = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
@@ -120,12 +128,43 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 0.9, b: fl
     postings = tf.join(asked.select("term").distinct(), "term", "left_semi")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    by_score = Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc_id")
+    scale = 10.0**digits
+    if asked.limit(most + 1).count() <= most:
+        pairs = asked.join(df.withColumn("idf", idf), "term").select("qid", "term", "idf").toPandas()
+        vocabulary, column = {t: i for i, t in enumerate(sorted(set(pairs["term"])))}, {q: i for i, q in enumerate(sorted(set(pairs["qid"])))}
+        weights = np.zeros((len(vocabulary), len(column)))
+        weights[[vocabulary[t] for t in pairs["term"]], [column[q] for q in pairs["qid"]]] = pairs["idf"]
+        held = queries.sparkSession.sparkContext.broadcast((vocabulary, np.array(list(column)), weights))
+
+        def score_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            words, qids, w = held.value
+            find = re.compile("[a-z0-9]+").findall
+            for whole in batches:
+                for start in range(0, len(whole), 2048):
+                    block = whole.iloc[start : start + 2048]
+                    x = np.zeros((len(block), len(words)))
+                    for i, text in enumerate(block["text"]):
+                        found = Counter(find((text or "").lower()))
+                        dl = sum(found.values())
+                        for t in found.keys() & words.keys():
+                            f = found[t]
+                            x[i, words[t]] = f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avg))
+                    scores = np.floor(x @ w * scale + 0.5) / scale
+                    order = np.argsort(block["doc_id"].to_numpy(), kind="stable")
+                    ids, scores = block["doc_id"].to_numpy()[order], scores[order]
+                    top = np.argsort(-scores, axis=0, kind="stable")[:k]
+                    q = np.broadcast_to(np.arange(len(qids)), top.shape)
+                    out = pd.DataFrame({"qid": qids[q.ravel()], "doc_id": ids[top.ravel()], "score": scores[top.ravel(), q.ravel()]})
+                    yield out[out["score"] > 0]
+
+        found = docs.select("doc_id", "text").mapInPandas(score_block, f"qid {queries.schema['qid'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+        return found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avg))
     weighted = postings.join(df, "term").join(sizes, "doc_id").select("term", "doc_id", weight.alias("w"))
     score = asked.join(weighted, "term").groupBy("qid", "doc_id").agg(F.sum("w").alias("s"))
-    score = score.withColumn("score", F.floor(F.col("s") * 10.0**digits + 0.5) / 10.0**digits).drop("s")
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc_id")
-    return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    score = score.withColumn("score", F.floor(F.col("s") * scale + 0.5) / scale).drop("s").where("score > 0")
+    return score.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
 
 
 def token_links(texts: DataFrame, least: float = 0.8) -> DataFrame:

@@ -29,6 +29,13 @@ def test_top_k_equals_brute_force(spark, most):
     assert R.top_k(df.limit(0).withColumnRenamed("id", "qid"), df, 3).count() == 0
 
 
+def test_bm25_ways_agree(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(1, 3 + i % 9))) for i in range(60)] + [(90, None), (91, "")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "w1 w2 W2"), (2, "w16"), (3, "zz"), (4, None)], "qid bigint, text string")
+    a, b = ({tuple(r) for r in R.bm25(docs, asked, 4, most=m).collect()} for m in (R.BROADCAST_TERMS, 0))
+    assert a == b and {r[0] for r in a} == {1, 2}
+
+
 def test_token_links_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     sets = [[f"t{v}" for v in rng.integers(0, 14, rng.integers(1, 12))] for _ in range(120)] + [[], ["t1", "t2"], ["t2", "t1", "t1"]]
