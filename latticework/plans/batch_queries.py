@@ -198,10 +198,10 @@ SQL = {
     "proj01_select": _o("SELECT pos, o_custkey FROM ob"),
     "proj02_pop": _o("SELECT pos, o_totalprice, o_custkey FROM ob"),
     "proj03_rename": _n("SELECT pos, n_nationkey, n_name AS name, n_regionkey FROM nb"),
-    "proj04_gather": _n("SELECT i.p AS pos, n_nationkey, n_name, n_regionkey FROM nb JOIN (VALUES (3, 0), (3, 1), (0, 2), (24, 3), (7, 4)) i(pos, p) USING (pos)"),
+    "proj04_gather": _n("SELECT CAST(i.p AS BIGINT) AS pos, n_nationkey, n_name, n_regionkey FROM nb JOIN (VALUES (3, 0), (3, 1), (0, 2), (24, 3), (7, 4)) i(pos, p) USING (pos)"),
     "proj04_boolean_mask": _o("SELECT pos, o_orderkey FROM ob WHERE o_totalprice > 100000"),
     "proj05_slice": _o("SELECT (pos - (n - 500)) // 7 AS pos, o_orderkey FROM ob, (SELECT count(*) AS n FROM ob) WHERE pos >= n - 500 AND pos < n - 3 AND (pos - (n - 500)) % 7 = 0"),
-    "proj06_index_select": "WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, vec_id, CAST(len(embedding) AS INTEGER) AS n FROM embeddings) SELECT i.p AS pos, vec_id, n FROM e JOIN (VALUES (5, 0), (1, 1), (5, 2)) i(pos, p) USING (pos)",
+    "proj06_index_select": "WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, vec_id, CAST(len(embedding) AS INTEGER) AS n FROM embeddings) SELECT CAST(i.p AS BIGINT) AS pos, vec_id, n FROM e JOIN (VALUES (5, 0), (1, 1), (5, 2)) i(pos, p) USING (pos)",
     "proj07_split_columns": _o("SELECT pos, o_orderkey, o_custkey, o_totalprice FROM ob"),
     "proj08_prompt_length": r"SELECT doc_id FROM documents WHERE text IS NOT NULL AND len(list_filter(regexp_split_to_array(text, '[\s\x0b]+'), lambda x: x <> '')) <= 120",
     "proj09_some_rows": "SELECT o_orderkey, o_custkey FROM orders ORDER BY (o_orderkey * 2654435761 + 42 * 40503) % 4294967296, o_orderkey LIMIT 100",
