@@ -35,6 +35,8 @@ def replay(actions: DataFrame, tasks: DataFrame, edges: DataFrame, names: DataFr
     pays the success again. Nothing is executed after STOP.
     """
     strings = F.array().cast("array<string>")
+    actions = materialize(actions.select("episode", "step", "action", "arg"), "actions")
+    names = materialize(names.select("id", "name"), "names")
     named = materialize(names.where("name is not null").groupBy("name").agg(F.min("id").alias("to_id")), "names")
     one = edges.join(names.select(C("id").alias("next"), C("name").alias("next_name")), "next").groupBy("cur", "next_name").agg(F.min(F.struct("next", "source")).alias("edge"))
     one = materialize(one, "edges")

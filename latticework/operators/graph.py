@@ -200,7 +200,7 @@ def seeds(edges: DataFrame, nodes_: DataFrame, n: int = 400) -> DataFrame:
 
 def breadth_first(edges: DataFrame, starts: DataFrame, hops: int = 2) -> DataFrame:
     """(start, id, hop): nodes within ``hops`` out-edges of each start, the start at hop 0. A frontier join per hop."""
-    steps = edges.select("cur", "next").distinct()
+    steps = materialize(edges.select("cur", "next").distinct(), "steps")
     seen = starts.select(C("id").alias("start"), "id", F.lit(0).alias("hop")).distinct()
     frontier = seen
     for hop in range(1, hops + 1):
@@ -280,6 +280,7 @@ def random_walks(edges: DataFrame, starts: DataFrame, walks: int = 3, length: in
     Every step joins all walks with the out-edges of their node and keeps one by a seeded weighted choice; a walk
     restarts with probability ``restart`` or where it cannot go on.
     """
+    edges = materialize(edges.select("cur", "next", "key", "w"), "weights")
     w = starts.select(C("id").alias("home")).distinct().withColumn("walk", F.explode(F.sequence(F.lit(1), F.lit(walks)))).withColumn("at", C("home"))
     # one list of out-edges per node would be unbounded for a hub; the choice is an aggregation instead
     visits = w.select(C("at").alias("id"))
@@ -301,6 +302,7 @@ def sample_branches(edges: DataFrame, centers: DataFrame, branches: int = 3, hop
     A branch visits no node twice and cites no source twice; ``path`` holds (cur, next, source, key). Branches end where
     nothing is left to choose. Paths are bounded by ``hops``.
     """
+    edges = materialize(edges.select("cur", "next", "source", "key", "w"), "weights")
     step_type = "array<struct<cur:string,next:string,source:string,key:string>>"
     b = centers.select(C("id").alias("center")).distinct().withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(branches)))).withColumn("at", C("center")).withColumn("path", F.expr(f"cast(array() as {step_type})"))
     for hop in range(hops):

@@ -120,13 +120,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 0.9, b: fl
     broadcast and documents are scored in blocks, each block keeping its best ``k`` per query; beyond it postings of
     query terms are joined with the queries.
     """
-    tf = terms(docs, "doc_id", "text").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    total = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg")).first()
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9]+"), 0)
+    words = docs.select("doc_id", found.alias("w")).where(F.size("w") > 0)
+    total = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg")).first()
     n, avg = float(total.n or 0), float(total.avg or 1)
     asked = terms(queries, "qid", "text").distinct()
-    postings = tf.join(asked.select("term").distinct(), "term", "left_semi")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    held_by = words.select(F.explode(F.array_distinct("w")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    df = held_by.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     by_score = Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc_id")
     scale = 10.0**digits
@@ -160,6 +160,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 0.9, b: fl
 
         found = docs.select("doc_id", "text").mapInPandas(score_block, f"qid {queries.schema['qid'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
         return found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+    tf = terms(docs, "doc_id", "text").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    sizes = words.select("doc_id", F.size("w").alias("dl"))
+    postings = tf.join(asked.select("term").distinct(), "term", "left_semi")
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avg))
     weighted = postings.join(df, "term").join(sizes, "doc_id").select("term", "doc_id", weight.alias("w"))
     score = asked.join(weighted, "term").groupBy("qid", "doc_id").agg(F.sum("w").alias("s"))
