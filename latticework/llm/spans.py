@@ -238,11 +238,16 @@ def find_shared(docs: DataFrame, least: int = LEAST, unit: int = UNIT, exact_end
     return Shared(texts, members, pairs.where(F.col("length") >= least), hot_windows, least)
 
 
-def sharing_pairs(found: Shared) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: every pair of documents with a common stretch, exact copies included."""
+def text_pairs(found: Shared) -> DataFrame:
+    """(a, b), a < b: every pair of distinct texts with a common stretch."""
     w = found.hot.select("w", "rep").distinct()
     hot = w.join(w.withColumnRenamed("rep", "other"), "w").where("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-    reps = found.pairs.select("a", "b").unionByName(hot).distinct()
+    return found.pairs.select("a", "b").unionByName(hot).distinct()
+
+
+def sharing_pairs(found: Shared) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b: every pair of documents with a common stretch, exact copies included."""
+    reps = text_pairs(found)
     first = found.members.select(F.col("rep").alias("a"), F.col("doc_id").alias("x"))
     second = found.members.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
     across = reps.join(first, "a").join(second, "b").select("x", "y")
@@ -296,15 +301,21 @@ def shared_report(docs: DataFrame, least: int = LEAST, unit: int = UNIT) -> Data
     """
     found = find_shared(docs, least, unit, exact_ends=True)
     found = Shared(found.texts, found.members, materialize(found.pairs, "pairs"), found.hot, least)
-    pairs = sharing_pairs(found)
-    both = pairs.select(F.col("doc_a").alias("doc_id"), F.col("doc_b").alias("o")).unionByName(pairs.select(F.col("doc_b").alias("doc_id"), F.col("doc_a").alias("o")))
-    partners = both.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_partners"), F.min("o").alias("first_partner"))
-    twins = found.members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups = found.members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"), F.min(F.when(F.col("doc_id") != F.col("rep"), F.col("doc_id"))).alias("second"))
+    reps = text_pairs(found)
+    both = reps.select(F.col("a").alias("rep"), F.col("b").alias("o")).unionByName(reps.select(F.col("b").alias("rep"), F.col("a").alias("o")))
+    sizes = groups.select(F.col("rep").alias("o"), "copies")
+    near = both.join(sizes, "o").groupBy("rep").agg(F.sum("copies").alias("near"), F.min("o").alias("low"))  # copies are counted, not paired
+    own = F.when(F.col("doc_id") == F.col("rep"), F.col("second")).otherwise(F.col("rep"))
+    partners = found.members.join(groups, "rep").join(near, "rep", "left").select(
+        "doc_id", "rep", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_partners"), F.least(own, "low").alias("first_partner")
+    ).where("n_partners > 0")
+    twins = groups.where("copies > 1").select("rep")
     lengths = docs.where(F.length("text") >= least).select("doc_id", F.length("text").alias("n_chars"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_chars").alias("length")))
     spans = _merged(_intervals(found, False))
     return (
-        partners.join(found.members, "doc_id").join(lengths, "doc_id").join(spans, "rep", "left").join(twins.withColumn("twin", F.lit(True)), "rep", "left")
+        partners.join(lengths, "doc_id").join(spans, "rep", "left").join(twins.withColumn("twin", F.lit(True)), "rep", "left")
         .select(
             "doc_id", "n_chars",
             F.when(F.col("twin"), F.col("n_chars")).otherwise(F.col("shared_chars")).alias("shared_chars"),

@@ -47,6 +47,7 @@ def test_report_covers_what_is_shared(spark):
     assert {k: r.shared_chars for k, r in got.items()} == cover
     assert all(sum(s.length for s in r.spans) == r.shared_chars for r in got.values())
     assert {k: r.n_partners for k, r in got.items()} == {k: sum(k in p for p in pairs) for k in cover}
+    assert {k: r.first_partner for k, r in got.items()} == {k: min(a + b - k for a, b in pairs if k in (a, b)) for k in cover}
 
 
 def test_later_occurrences_are_cut(spark):
