@@ -11,6 +11,7 @@ from latticework.functions.vec import rnd
 from latticework.operators import environment as E
 from latticework.operators import graph as G
 from latticework.operators import partition as X
+from latticework.operators import plugins as PL
 from latticework.plans import graph_queries as GQ
 from latticework.plans.proxies import RESPONSES, r, responses
 from latticework.sources import readers as S
@@ -169,7 +170,23 @@ def _e10(s, d):
     return o.select("id", F.md5(x["searchable"]).alias("searchable"), F.md5(x["forbidden"]).alias("forbidden"))
 
 
+def _e01(s, d):
+    tasks = qa(s, d).select("task_id")
+    return E.task_draw(tasks, table(s, d, "events", F.col("event_id").alias("seed")), tasks.count(), "task_id")
+
+
+def _f03(s, d):
+    return PL.rewarded(qa(s, d).select("task_id", "answer", F.lower("query").alias("gold")), "exact", "answer", "gold").select("task_id", "reward")
+
+
+def _f06(s, d):
+    return PL.chunked(table(s, d, "eval_item", "item_id", "text"), "item_id", "text", lambda t: t.split("? ")).select("item_id", "chunk", F.length("content").alias("n"))
+
+
 QUERIES = {
+    "e01_task_draw": _e01,
+    "f03_registered_reward": _f03,
+    "f06_pluggable_chunker": _f06,
     "t01_digit_in_difference": lambda s, d: _pairs(s, d).select("id", T.digit_in_difference(F.col("a"), F.col("b")).alias("x")),
     "t02_names_alike": lambda s, d: _pairs(s, d).select("id", T.names_alike(F.col("a"), F.col("b")).alias("x")),
     "t03_entity_text": lambda s, d: table(s, d, "entity", "record_id", F.concat(F.col("name"), F.lit(" "), F.col("attributes.description")).alias("t")).distinct(),
@@ -250,6 +267,8 @@ _B1, _B3 = _side("x1", "x2", 80)
 _B2, _B4 = _side("y1", "y2", 60)
 
 SQL = {
+    "e01_task_draw": _q(", t AS (SELECT task_id, row_number() OVER (ORDER BY task_id) - 1 AS p, count(*) OVER () AS n FROM qa) SELECT event_id AS seed, task_id FROM events JOIN t ON p = event_id * 2654435761 % n"),
+    "f06_pluggable_chunker": "SELECT item_id, CAST(i - 1 AS INTEGER) AS chunk, CAST(length(p[i]) AS INTEGER) AS n FROM (SELECT item_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT item_id, string_split(text, '? ') AS p FROM eval_item))",
     "t01_digit_in_difference": f"WITH {_PAIRS} SELECT id, {_DIFF} AS x FROM pr",
     "t02_names_alike": f"""WITH {_PAIRS}, c AS (SELECT *, greatest(len({_CA}), len({_CB})) AS m, len(list_filter({_CA}, lambda p: list_contains({_CB}, p))) AS k FROM pr)
         SELECT id, NOT ({_DIFF}) AND (levenshtein(a, b) <= least(length(a), length(b)) // 2 OR CASE WHEN m < 4 THEN k > 1 ELSE k / m >= 0.8 END) AS x FROM c""",
