@@ -274,7 +274,7 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, relax: float =
     return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "other", "sim", "rank")
 
 
-def close_pairs(vectors: DataFrame, k: int = 5, floor: float = 0.9, relax: float = 0.25, shard_relax: float = 0.12, trees: int = 2) -> DataFrame:
+def close_pairs(vectors: DataFrame, k: int = 5, floor: float = 0.9, relax: float = 0.25, shard_relax: float = 0.16, trees: int = 2) -> DataFrame:
     """(rec_a, rec_b), rec_a < rec_b: pairs of at least ``floor`` of which one is among the ``k`` best of the other."""
     found = materialize(nearest(vectors, k, floor, relax, shard_relax, trees), "neighbors")
     return found.select(F.least("query", "other").alias("rec_a"), F.greatest("query", "other").alias("rec_b")).distinct()
