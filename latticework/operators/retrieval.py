@@ -170,6 +170,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 0.9, b: fl
     return score.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
 
 
+def token_classes(texts: DataFrame) -> DataFrame:
+    """(id, rep): every record of ``texts`` (id, tokens) with the smallest id of its token set; records without tokens give none."""
+    sets = texts.withColumn("tokens", F.array_sort(F.array_distinct("tokens"))).where(F.size("tokens") > 0)
+    reps = sets.groupBy("tokens").agg(F.min("id").alias("rep"))
+    return sets.join(reps, "tokens").select("id", "rep").distinct()
+
+
 def token_links(texts: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b): pairs of distinct token sets with Jaccard similarity of at least ``least``, found without loss.
 

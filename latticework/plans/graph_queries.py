@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from latticework.functions.vec import cosine, doubles, mean_vector, rnd
 from latticework.operators import graph as G
 from latticework.plans.proxies import r
+from latticework.session import materialize
 from latticework.sources.tables import table
 
 
@@ -204,14 +205,31 @@ def _u13s(s, d):
 
 
 def _resolved(s, d):
-    """Candidate pairs of similar names, confirmed by the name rule that stands for the model's verdict."""
+    names = table(s, d, "entity", F.col("record_id").alias("id"), F.lower(F.trim("name")).alias("name")).where("name <> ''").distinct()
+    return resolved(names)
+
+
+def resolved(names):
+    """(a, b): records of ``names`` (id, name) that are one entity: equal names, and candidate pairs of similar names
+    confirmed by the name rule that stands for the model's verdict.
+
+    Every spelling is judged, also those of one token set; the smallest id stands for its spelling and each other record
+    is linked to it.
+    """
     from latticework.functions import text as T
     from latticework.operators import retrieval as R
 
-    names = table(s, d, "entity", F.col("record_id").alias("id"), F.lower(F.trim("name")).alias("name")).where("name <> ''").distinct()
-    links = R.token_links(names.select("id", F.regexp_extract_all("name", F.lit("[a-z0-9]+"), 0).alias("tokens")), 0.6)
-    a, b = names.select(F.col("id").alias("a"), F.col("name").alias("x")), names.select(F.col("id").alias("b"), F.col("name").alias("y"))
-    return links.join(a, "a").join(b, "b").where(T.names_alike(F.col("x"), F.col("y"))).select("a", "b")
+    names = materialize(names, "names")
+    spellings = names.groupBy("name").agg(F.min("id").alias("at"))
+    copies = names.join(spellings, "name").where("id <> at").select(F.col("at").alias("a"), F.col("id").alias("b"))
+    tokens = spellings.select(F.col("at").alias("id"), F.regexp_extract_all("name", F.lit("[a-z0-9]+"), 0).alias("tokens"))
+    classes = materialize(R.token_classes(tokens).join(spellings, F.col("id") == F.col("at")).select("id", "rep", "name"), "classes")
+    links = R.token_links(tokens, 0.6)
+    links = links.unionByName(classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct())
+    x = classes.select(F.col("rep").alias("a"), F.col("id").alias("i"), F.col("name").alias("x"))
+    y = classes.select(F.col("rep").alias("b"), F.col("id").alias("j"), F.col("name").alias("y"))
+    pairs = links.join(x, "a").join(y, "b").where((F.col("a") < F.col("b")) | (F.col("i") < F.col("j"))).where(T.names_alike(F.col("x"), F.col("y")))
+    return copies.unionByName(pairs.select(F.col("i").alias("a"), F.col("j").alias("b")))
 
 
 def _level(move, rise):
