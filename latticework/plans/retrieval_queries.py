@@ -55,8 +55,15 @@ def _j11(spark, d):
 
 
 def _j11b(spark, d):
-    links = R.token_links(_names(spark, d), 0.8)
-    return G.components(links)
+    return token_set_classes(_names(spark, d), 0.8)
+
+
+def token_set_classes(names, least):
+    """(node, component): every record of ``names`` (id, tokens) that has tokens, with the smallest id of its class; equal
+    sets are in one class, and sets linked by a similarity of at least ``least``."""
+    labels = G.components(R.token_links(names, least)).select(F.col("node").alias("rep"), "component")
+    rows = R.token_classes(names).join(labels, "rep", "left")
+    return rows.select(F.col("id").alias("node"), F.coalesce("component", "rep").alias("component"))
 
 
 def _gold(spark, d):

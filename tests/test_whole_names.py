@@ -1,5 +1,6 @@
 from latticework.operators import graph as G
 from latticework.plans import graph_queries as Q
+from latticework.plans import retrieval_queries as RQ
 
 
 def test_resolution_keeps_every_copy_and_judges_every_spelling(spark):
@@ -9,3 +10,10 @@ def test_resolution_keeps_every_copy_and_judges_every_spelling(spark):
     names = spark.createDataFrame(rows, "id bigint, name string")
     got = {r.node: r.component for r in G.components(Q.resolved(names)).collect()}
     assert got == {1: 1, 4: 1, 5: 1, 8: 8, 9: 8, 2: 2, 3: 2, 6: 2, 10: 2}
+
+
+def test_classes_have_one_row_for_each_record(spark):
+    sets = [(1, "a b c d e"), (2, "e d c b a"), (3, "a b c d"), (4, "x y"), (5, "y x x"), (6, "lone"), (7, "")]
+    df = spark.createDataFrame([(i, t.split()) for i, t in sets], "id bigint, tokens array<string>")
+    got = {r.node: r.component for r in RQ.token_set_classes(df, 0.8).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
