@@ -31,6 +31,9 @@ SHARD_ROWS = 24_000
 
 LEAF = 192
 
+#: More than single-precision similarities of unit rows, and rounding to 7 digits, are off.
+SLACK = 1e-5
+
 #: Groups of equal vectors larger than this are represented by their smallest ids.
 COPIES = 64
 
@@ -45,9 +48,14 @@ def unit_rows(column: pd.Series, dim: int = DIM) -> np.ndarray:
     """Vectors as unit rows; computed in double precision, since any length may occur."""
     if not len(column):
         return np.zeros((0, dim), dtype=np.float32)
-    x = np.stack(column.to_numpy()).astype(np.float64)
+    return exact_units(np.stack(column.to_numpy())).astype(np.float32)
+
+
+def exact_units(x: np.ndarray) -> np.ndarray:
+    """Unit rows in double precision."""
+    x = x.astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # lengths near the end of the range must not overflow
-    return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _angles(x: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -142,61 +150,70 @@ def home(node: Node, q: np.ndarray) -> Iterator[tuple[object, np.ndarray]]:
 
 
 class _Best:
-    """The best rows found so far for each query, in memory bounded by the number of queries."""
+    """The ``k`` best rows found so far for each query: highest rounded similarity, then smallest id.
+
+    Single precision only leaves out rows that cannot be among them; the rest are compared in double precision, so memory
+    is bounded by the number of queries however many rows tie.
+    """
 
-    def __init__(self, x: np.ndarray, q: np.ndarray, k: int, floor: float):
-        self.x, self.q = x, q
-        self.keep = k + 17  # itself, and rows that single precision cannot tell from the k-th
-        self.sims = np.full((len(q), self.keep), floor, dtype=np.float32)
-        self.rows = np.full((len(q), self.keep), -1, dtype=np.int64)
-        self.lowest = self.sims[:, 0].copy()
+    def __init__(self, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, floor: float):
+        self.ids, self.x, self.qids, self.q, self.k, self.floor = ids, x, qids, q, k, floor
+        self.x32, self.q32 = x.astype(np.float32), q.astype(np.float32)
+        self.s = np.full((len(q), k), -2.0)
+        self.sims = np.full((len(q), k), -2.0)
+        self.others = np.full((len(q), k), np.iinfo(np.int64).max)
 
     def offer(self, rows: np.ndarray, at: np.ndarray) -> None:
-        for start in range(0, len(at), 4096):
-            for first in range(0, len(rows), 8192):
-                self._offer(rows[first : first + 8192], at[start : start + 4096])
+        for start in range(0, len(at), 1024):
+            for first in range(0, len(rows), 2048):
+                self._offer(rows[first : first + 2048], at[start : start + 1024])
 
     def _offer(self, rows: np.ndarray, at: np.ndarray) -> None:
-        sims = self.q[at] @ self.x[rows].T
-        hit = np.flatnonzero(sims.max(axis=1) > self.lowest[at])
-        if not len(hit):
+        sims = self.q32[at] @ self.x32[rows].T
+        least = np.maximum(self.kth()[at], self.floor)
+        if len(rows) > self.k + 1:  # the query itself may be one of them
+            least = np.maximum(least, np.partition(sims, len(rows) - self.k - 1, axis=1)[:, len(rows) - self.k - 1])
+        i, j = np.nonzero(sims >= (least - SLACK)[:, None])
+        i, j = at[i], rows[j]
+        different = self.qids[i] != self.ids[j]
+        i, j = i[different], j[different]
+        if not len(i):
             return
-        at = at[hit]
-        both = np.concatenate([self.sims[at], sims[hit]], axis=1)
-        who = np.concatenate([self.rows[at], np.broadcast_to(rows, (len(at), len(rows)))], axis=1)
-        top = np.argpartition(-both, self.keep - 1, axis=1)[:, : self.keep]
-        self.sims[at] = np.take_along_axis(both, top, axis=1)
-        self.rows[at] = np.take_along_axis(who, top, axis=1)
-        self.lowest[at] = self.sims[at].min(axis=1)
-
-    def kth(self, k: int) -> np.ndarray:
-        return np.partition(self.sims, self.keep - k - 1, axis=1)[:, self.keep - k - 1]
+        sim = np.concatenate([np.einsum("ij,ij->i", self.q[i[p : p + 50_000]], self.x[j[p : p + 50_000]]) for p in range(0, len(i), 50_000)])
+        s = np.round(sim, 7)
+        enough = s >= self.floor
+        i, j, sim, s = i[enough], j[enough], sim[enough], s[enough]
+        some = np.unique(i)
+        who = np.concatenate([np.repeat(some, self.k), i])
+        s = np.concatenate([self.s[some].ravel(), s])
+        sim = np.concatenate([self.sims[some].ravel(), sim])
+        other = np.concatenate([self.others[some].ravel(), self.ids[j]])
+        order = np.lexsort((other, -s, who))
+        first = np.searchsorted(who[order], some)
+        best = order[first[:, None] + np.arange(self.k)]
+        self.s[some], self.sims[some], self.others[some] = s[best], sim[best], other[best]
+
+    def kth(self) -> np.ndarray:
+        return self.s[:, -1]
 
 
 def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, floor: float, relax: float, seed: int) -> pd.DataFrame:
-    """(query, other, sim) with the ``k`` best rows of ``x`` for each query, of at least ``floor``, itself left out."""
-    none = pd.DataFrame({"query": np.zeros(0, "int64"), "other": np.zeros(0, "int64"), "sim": np.zeros(0, "float64")})
+    """(query, other, sim, s) with the ``k`` best rows of ``x`` for each query, of at least ``floor``, itself left out.
+
+    ``x`` and ``q`` are unit rows in double precision, ``s`` is ``sim`` rounded to 7 digits; ties go to the smaller ``other``.
+    """
     if not len(ids) or not len(qids):
-        return none
-    tree = grow_tree(x, LEAF, seed)
-    loose = floor - 1e-5 if floor > -1.0 else -2.0
-    best, at_home = _Best(x, q, k, loose), np.zeros(len(q), dtype=np.int64)
-    for rows, at in home(tree, q):
+        return pd.DataFrame({"query": np.zeros(0, "int64"), "other": np.zeros(0, "int64"), "sim": np.zeros(0, "float64"), "s": np.zeros(0, "float64")})
+    best, at_home = _Best(ids, x, qids, q, k, floor if floor > -1.0 else -1.5), np.zeros(len(q), dtype=np.int64)
+    tree, q32 = grow_tree(best.x32, LEAF, seed), best.q32
+    for rows, at in home(tree, q32):
         best.offer(rows, at)
         at_home[at] = id(rows)
-    radius = np.arccos(np.clip(best.kth(k) - 1e-5, -1.0, 1.0))  # the k-th best so far bounds the search
-    for rows, at in reach(tree, q, radius, relax):
+    radius = np.arccos(np.clip(np.maximum(best.kth(), best.floor) - 1e-5, -1.0, 1.0))  # the k-th best so far bounds the search
+    for rows, at in reach(tree, q32, radius, relax):
         best.offer(rows, at[at_home[at] != id(rows)])
-    a, column = np.nonzero(best.rows >= 0)
-    b = best.rows[a, column]
-    different = qids[a] != ids[b]
-    a, b = a[different], b[different]
-    sim = np.empty(len(a))
-    for s in range(0, len(a), 50_000):
-        sim[s : s + 50_000] = np.einsum("ij,ij->i", q[a[s : s + 50_000]].astype(np.float64), x[b[s : s + 50_000]].astype(np.float64))
-    out = pd.DataFrame({"query": qids[a], "other": ids[b], "sim": sim})
-    out = out[out["sim"] >= loose].sort_values(["query", "sim", "other"], ascending=[True, False, True])
-    return out[out.groupby("query").cumcount() < k + 8]
+    a, column = np.nonzero(best.s > -2.0)
+    return pd.DataFrame({"query": qids[a], "other": best.others[a, column], "sim": best.sims[a, column], "s": best.s[a, column]})
 
 
 def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, relax: float = 1.0, shard_relax: float | None = None, trees: int = 1, queries: Column | None = None, dim: int = DIM, seed: int = 7) -> DataFrame:
@@ -219,11 +236,16 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, relax: float =
         many = sizes.where(F.col("n") > COPIES).select("same")
         by_id = Window.partitionBy("same").orderBy("record_id")
         few = rows.select("same", "record_id").join(many, "same").distinct().withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
-        few = materialize(few.select("same", F.col("record_id").alias("other")), "copies")
-        spare = rows.select("same", "record_id", "asks").join(many, "same").join(few, F.col("record_id") == F.col("other"), "left_anti")
-        first = few.groupBy("same").agg(F.array_sort(F.collect_list("other")).alias("others"))  # k + 1 ids at most
-        spare = spare.where("asks").distinct().join(first, "same").select(F.col("record_id").alias("query"), F.explode(F.slice("others", 1, k)).alias("other"), F.lit(1.0).alias("sim"))
+        few = materialize(few.select("same", F.col("record_id").alias("other"), "r"), "copies")
+        spare = rows.select("same", "record_id", "asks").join(many, "same").join(few, F.col("record_id") == F.col("other"), "left_anti").where("asks").select("same", "record_id").distinct()
+        # the others have the neighbours of the smallest of their equals, and that one; it asks for them
+        leads = few.where("r = 1").select("same", F.col("other").alias("lead"))
+        spare = materialize(spare.join(leads, "same").select(F.col("record_id").alias("query"), "lead"), "spare")
+        few = few.drop("r", "same")
+        asked = rows.where("asks").select(F.col("record_id").alias("query"))
+        forced = leads.select(F.col("lead").alias("record_id"), F.lit(True).alias("leads"))
         rows = rows.join(many, "same", "left_anti").unionByName(rows.join(few, (rows.record_id == few.other), "left_semi"))
+        rows = rows.select("same", "record_id", "vector", "asks").join(forced, "record_id", "left").withColumn("asks", F.col("asks") | F.col("leads").isNotNull()).drop("leads")
         n = rows.count()
     rows = rows.drop("same")
     depth = max(2, int(np.ceil(np.log2(max(1, n) / SHARD_ROWS)))) if n else 0
@@ -233,12 +255,13 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, relax: float =
     tops = spark.sparkContext.broadcast([grow_shards(sample, depth, seed + t) if n else Node(leaf=0) for t in range(trees)])
     between = relax if shard_relax is None else shard_relax
     radius = float(np.arccos(max(floor, -1.0)))
+    kind = "float32" if rows.schema["vector"].dataType.elementType.typeName() == "float" else "float64"  # as given, so that nothing is lost
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = unit_rows(b["vector"], dim)
             asks, ids = b["asks"].to_numpy(), b["record_id"].to_numpy()
-            packed = [v.tobytes() for v in x]
+            packed = [np.asarray(v, dtype=kind).tobytes() for v in b["vector"]]
             for t, top in enumerate(tops.value):
                 stored = np.zeros(len(x), dtype=np.int64)
                 for leaf, at in home(top, x):
@@ -255,7 +278,7 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, relax: float =
                 yield pd.DataFrame({"cell": cells + (t << depth), "role": role.astype("int8"), "record_id": ids[at], "v": [packed[i] for i in at]})
 
     def search(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(part["v"]), dtype=np.float32).reshape(len(part), -1) if len(part) else np.zeros((0, dim), np.float32)
+        x = exact_units(np.frombuffer(b"".join(part["v"]), dtype=kind).reshape(len(part), -1)) if len(part) else np.zeros((0, dim))
         role, ids = part["role"].to_numpy(), part["record_id"].to_numpy()
         stored = np.flatnonzero(role & 1)
         stored = stored[np.unique(ids[stored], return_index=True)[1]]
@@ -264,13 +287,15 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, relax: float =
         return search_shard(ids[stored], x[stored], ids[asking], x[asking], k, floor, relax, seed + int(key[0]))
 
     cells = rows.mapInPandas(route, "cell bigint, role tinyint, record_id bigint, v binary")
-    found = cells.groupBy("cell").applyInPandas(search, "query bigint, other bigint, sim double")
-    sim = F.round("sim", 7)  # single-precision unit rows: equal vectors may differ beyond that
+    found = cells.groupBy("cell").applyInPandas(search, "query bigint, other bigint, sim double, s double")
     best = Window.partitionBy("query").orderBy(F.col("s").desc(), "other")
+    once = found.groupBy("query", "other").agg(F.max("sim").alias("sim"), F.max("s").alias("s"))
     if spare is not None:
-        found = found.unionByName(spare)
-    once = found.groupBy("query", "other").agg(F.max("sim").alias("sim")).withColumn("s", sim)
-    once = once.where(F.col("s") >= floor) if floor > -1.0 else once
+        ranked = materialize(once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"), "ranked")
+        one = F.lit(1.0)
+        more = spare.join(ranked.withColumnRenamed("query", "lead"), "lead").select("query", "other", "sim", "s")
+        more = more.unionByName(spare.select("query", F.col("lead").alias("other"), one.alias("sim"), one.alias("s")))
+        once = ranked.join(asked.distinct(), "query", "left_semi").unionByName(more)
     return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "other", "sim", "rank")
 
 
