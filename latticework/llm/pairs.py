@@ -176,7 +176,7 @@ def openings(query: str, answer: str) -> list[str]:
     """The first words of each clause, with words of the query and numbers masked."""
     asked = set(tokens(plain(query))) - _WORDS_OF["en"] - _WORDS_OF["es"] - _WORDS_OF["fr"] - _WORDS_OF["de"]
     out = []
-    for clause in _CLAUSE.split(unwrapped(plain(answer))[0])[:8]:
+    for clause in _CLAUSE.split(unwrapped(plain(answer))[0]):
         words = tokens(clause)
         words = words[: OPENING_WORDS * (2 if words and _HAN.match(words[0]) else 1)]  # of Chinese, characters
         if len(words) >= 3:
