@@ -1,7 +1,7 @@
 """Broken prompt and response pairs, each with the kind of its defect.
 
 Refusals are found by what makes them boilerplate: the openings of their clauses recur across unrelated prompts.
-Openings are clustered by MinHash with verified similarity; a cluster whose opening says in the first person that
+Openings are clustered by verified similarity; a cluster whose opening says in the first person that
 there will be no answer, without any content of a prompt, is a refusal template. The other kinds follow from checks
 of the pair alone: emptiness, copying, language and termination.
 """
@@ -12,7 +12,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,8 +19,8 @@ from pyspark.sql import functions as F
 
 from latticework.session import materialize
 
-#: Words of an opening, least similarity of two openings, signature length and rows of a band.
-OPENING_WORDS, SIMILARITY, HASHES, BAND = 8, 0.8, 24, 4
+#: Words of an opening, least similarity of two openings.
+OPENING_WORDS, SIMILARITY = 8, 0.8
 
 #: Prompts across which an opening of unknown wording must recur to count as a template.
 RECURS = 5
@@ -185,37 +184,11 @@ def openings(query: str, answer: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def _signature(text: str, seeds: np.ndarray) -> tuple[frozenset, np.ndarray]:
-    shingles = frozenset(text[i : i + 4] for i in range(max(1, len(text) - 3)))
-    values = np.array([hash_text(x) for x in shingles], dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        mixed = (values[None, :] ^ seeds[:, None]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return shingles, mixed.min(axis=1)
-
-
 def hash_text(s: str) -> int:
     """64-bit hash of the UTF-8 bytes, the same in all workers."""
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
 
 
-_SEEDS = np.random.default_rng(11).integers(1, 1 << 63, HASHES).astype(np.uint64)
-
-
-def _bands(distinct: DataFrame) -> DataFrame:
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for text in b["opening"]:
-                sig = _signature(text, _SEEDS)[1]
-                for k in range(0, HASHES, BAND):
-                    rows.append((text, f"{k}:{hash_text(sig[k : k + BAND].tobytes().hex()):x}"))
-            yield pd.DataFrame(rows, columns=["opening", "band"])
-
-    return distinct.select("opening").mapInPandas(cut, "opening string, band string")
-
-
 def similar(a: str, b: str) -> bool:
     """Verified similarity of two openings: Jaccard of their character 4-grams."""
     x, y = (frozenset(t[i : i + 4] for i in range(max(1, len(t) - 3))) for t in (a, b))
@@ -223,13 +196,21 @@ def similar(a: str, b: str) -> bool:
 
 
 def cluster_openings(distinct: DataFrame) -> DataFrame:
-    """(opening, cluster): openings linked to the first and the last of their MinHash buckets, where verified.
+    """(opening, cluster): openings linked to all others of verified similarity, which nothing leaves out.
 
-    A bucket of any size gives two candidates per member, never all pairs; labels travel until none changes.
+    Two openings of that similarity share a 4-gram among the rarest of each (prefixes of the 4-grams in order of rarity), so
+    an equi join on these meets every pair; MinHash buckets would miss some. Labels travel until none changes.
     """
-    band = _bands(distinct)
-    ends = band.groupBy("band").agg(F.min("opening").alias("lo"), F.max("opening").alias("hi")).where("lo < hi")
-    near = band.join(ends, "band").select("opening", F.explode(F.array("lo", "hi")).alias("other")).where("opening <> other").distinct()
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("opening") - 3, F.lit(1))), lambda i: F.substr("opening", i, F.lit(4)))
+    shingles = distinct.select("opening").distinct().select("opening", F.explode(F.array_distinct(grams)).alias("t"))
+    rarity = shingles.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
+    ranked = shingles.join(rarity, "t").groupBy("opening").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("x"))
+    n = F.size("x")
+    prefix = n - F.ceil(F.lit(SIMILARITY) * n - F.lit(1e-9)) + 1
+    keys = materialize(ranked.select("opening", n.alias("n"), F.explode(F.slice(F.col("x")["t"], F.lit(1), prefix.cast("int"))).alias("t")), "prefixes")
+    right = keys.select(F.col("opening").alias("other"), F.col("n").alias("m"), "t")
+    close = (F.col("n") >= F.col("m") * SIMILARITY - 1e-9) & (F.col("m") >= F.col("n") * SIMILARITY - 1e-9)
+    near = keys.join(right, "t").where((F.col("opening") < F.col("other")) & close).select("opening", "other").distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -1,3 +1,5 @@
+import random
+
 from latticework.llm import pairs
 
 
@@ -5,3 +7,12 @@ def test_a_late_refusal_is_found(spark):
     answer = "You name Fupavu, Jibaco, Redeno, Zorira, Bomipe, Nisifi, Junoco, Lamina, Torepo, Kavile. I cannot answer this question."
     df = spark.createDataFrame([(1, "What does the chart say of them?", answer)], "task_id bigint, query string, answer string")
     assert [tuple(r) for r in pairs.defective_pairs(df).collect()] == [(1, "refusal")]
+
+
+def test_every_similar_pair_shares_a_cluster(spark):
+    rng = random.Random(4)
+    texts = {"".join(rng.choices("abcdefghij ", k=rng.randint(3, 60))) for _ in range(60)}
+    texts |= {t[:i] + "z" + t[i + 1 :] for t in list(texts) for i in rng.sample(range(len(t)), 3)}
+    got = {r.opening: r.cluster for r in pairs.cluster_openings(spark.createDataFrame([(t,) for t in texts], "opening string")).collect()}
+    assert set(got) == texts
+    assert not [(a, b) for a in texts for b in texts if pairs.similar(a, b) and got[a] != got[b]]
