@@ -55,7 +55,7 @@ def _p21(spark, d):
 
 
 def _p22(spark, d):
-    files = table(spark, d, "relation", F.col("attributes.chunk_id").alias("file")).where("file like '%_01'")
+    files = table(spark, d, "relation", F.col("attributes.chunk_id").alias("file"))
     return P.of_sources(table(spark, d, "entity", "id", "source"), files)
 
 
