@@ -45,12 +45,12 @@ PLACEHOLDERS = frozenset(
 
 #: Common words by language, enough to tell sentences apart.
 LANGUAGE_WORDS = {
-    "en": "the of and in is are was were that does did do has have had what which whose who how when on between for more by from than a an at to as not with while both they it its their there this or but would yes neither none above below less",
+    "en": "the of and in is are was were that does did do has have had what which whose who how when on between for more by from than a an at to as not with while both they it its their there this or but would yes neither none above below less whether too so before after about into over some most",
     "es": "el la los las de del que en es y más menos una un por con según entre sí no para al se su sus lo como pero fue son está porque cuando qué cuál mayor cada",
     "fr": "le la les l d des du de que qui est sont et plus moins une un par dans pour selon oui non sur à au aux se sa ses pas car elle il ne ce cette avec contre chez était",
     "de": "der die das den dem des und ist sind in im von vom zu zum zur dass mehr weniger als ein eine einer einem für nicht laut ja nein mit auf bei sich wird werden hat haben denn etwa gegenüber wie was ich kann",
-    "it": "il lo gli di del della delle dei che è e più meno una un per con secondo tra sì non sono nel nella al alla si suo sua come ma perché quando quale anche",
-    "pt": "o os as do da dos das que em é e mais menos uma um por com segundo entre sim não são no na nos nas ao se seu sua como mas porque quando qual também",
+    "it": "il lo gli di del della delle dei che è più meno una un per con secondo tra sì non sono nel nella al alla si suo sua come ma perché quando quale anche",
+    "pt": "os da dos das que em é mais menos uma um por com segundo entre sim não são na nas ao sua como mas porque quando qual também",
     "nl": "de het een van en in is zijn dat die op te met voor niet als meer minder dan volgens tussen ja nee ook maar omdat wanneer welke bij wordt",
 }
 _WORDS_OF = {k: frozenset(v.split()) for k, v in LANGUAGE_WORDS.items()}
