@@ -58,6 +58,8 @@ _COMMON = frozenset().union(*(_WORDS_OF[k] for k in ("en", "es", "fr", "de")))
 #: Scripts that tell a language.
 SCRIPTS = {"ja": "ぁ-ヿ", "ko": "가-힣", "ru": "Ѐ-ӿ", "el": "Ͱ-Ͽ", "ar": "؀-ۿ", "he": "֐-׿", "hi": "ऀ-ॿ", "th": "฀-๿"}
 _SCRIPTS = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()}
+_OTHER_SCRIPT = re.compile(f"[{''.join(SCRIPTS.values())}]")
+_SPOKEN_IN = {w: tuple(k for k, known in _WORDS_OF.items() if w in known) for w in frozenset().union(*_WORDS_OF.values())}
 #: Answers of one word that belong to one language.
 YES_NO = {"sí": "es", "oui": "fr", "non": "fr", "ja": "de", "nein": "de", "yes": "en", "是": "zh", "否": "zh", "是的": "zh", "不是": "zh"}
 
@@ -108,6 +110,8 @@ _STARTED = re.compile(r"^(?:\d[\d.,]*\s*[%％]?\s+(?:of|der|des|de|los|las|del)\
 def unwrapped(answer: str) -> tuple[str, bool]:
     """The content of an answer without wrapping and label, and whether a wrapping was opened but not closed."""
     s, unclosed = answer.strip(), False
+    if s[:1].isalnum() and not _LABEL.match(s):  # no wrapping starts with a letter or digit
+        return s, False
     for _ in range(6):
         before = s
         for start, end in _WRAPS:
@@ -130,6 +134,8 @@ def unwrapped(answer: str) -> tuple[str, bool]:
 
 def plain(text: str | None) -> str:
     """NFKC text with plain apostrophes, without invisible characters."""
+    if not text or text.isascii():
+        return text or ""
     return _INVISIBLE.sub("", unicodedata.normalize("NFKC", text or "")).replace("’", "'").replace("‘", "'")
 
 
@@ -139,33 +145,37 @@ def tokens(text: str) -> list[str]:
 
 def language(text: str) -> str | None:
     """The language whose script or common words prevail; None where nothing tells."""
-    if not text.isascii():
+    plain_letters = text.isascii()
+    if not plain_letters:
         letters = len(_LETTER.findall(text))
-        for k, script in _SCRIPTS.items():
-            if len(script.findall(text)) * 3 > letters:
-                return k
+        if _OTHER_SCRIPT.search(text):
+            for k, script in _SCRIPTS.items():
+                if len(script.findall(text)) * 3 > letters:
+                    return k
         if len(_HAN.findall(text)) * 3 > letters:
             return "zh"
     folded = text.casefold()
     found = _WORD.findall(folded)
     if len(found) == 1:
         return YES_NO.get(found[0])
-    score = {k: sum(w in known for w in found) for k, known in _WORDS_OF.items()}
+    score = dict.fromkeys(_WORDS_OF, 0.0)
+    for w in found:
+        for k in _SPOKEN_IN.get(w, ()):
+            score[k] += 1
     if found and found[0] in YES_NO and YES_NO[found[0]] in score:
         score[YES_NO[found[0]]] += 1
-    if not folded.isascii():
-        for k, letters in (("es", "ñ¿¡"), ("fr", "çœèêàùî"), ("de", "äöüß"), ("pt", "ãõ"), ("it", "ìò")):
-            score[k] += 0.5 * min(2, sum(c in letters for c in folded))
-    top = sorted(score.values(), reverse=True)
-    if top[0] <= 0 or top[0] == top[1]:
-        return None
-    return max(score, key=score.get)
+    if not plain_letters:
+        for k, marks in (("es", "ñ¿¡"), ("fr", "çœèêàùî"), ("de", "äöüß"), ("pt", "ãõ"), ("it", "ìò")):
+            score[k] += 0.5 * min(2, sum(map(folded.count, marks)))
+    top = max(score.values())
+    best = [k for k, v in score.items() if v == top]
+    return best[0] if top > 0 and len(best) == 1 else None
 
 
 def is_empty(answer: str | None) -> bool:
-    s, _ = unwrapped(plain(answer))
-    bare = plain(answer).strip().casefold()
-    return not re.search(r"[^\W_]", s) or s.casefold().strip(" .!") in PLACEHOLDERS or bare in PLACEHOLDERS
+    bare = plain(answer).strip()
+    s, _ = unwrapped(bare)
+    return not re.search(r"[^\W_]", s) or s.casefold().strip(" .!") in PLACEHOLDERS or bare.casefold() in PLACEHOLDERS
 
 
 def is_copy(query: str, answer: str) -> bool:
