@@ -1,50 +1,104 @@
 """Splitting oversized items at natural boundaries, by balanced targets.
 
-For an item the least number of pieces is computed from the limit and the overlap, targets of equal length are
-placed, and each target is moved to the strongest boundary near it. If a limit cannot be kept that way, one more
-piece is tried. Every piece but the first starts with the last ``overlap`` characters of the piece before it.
+For an item the least number of pieces is computed from the limit, the overlap and the boundaries, targets of equal
+length are placed, and each target is moved to the strongest boundary near it. Where equal lengths alone would need fewer
+pieces than the boundaries allow, pieces are added. Only runs without a boundary that no piece can hold are cut inside, as
+seldom as possible, and the text around them as if they were not there. Every piece but the first starts with the last ``overlap``
+characters of the piece before it. The work is linear in the length of an item.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Boundaries from strongest to weakest; a cut lies at the end of a match.
-BOUNDARIES = (
-    re.compile(r"\n[^\S\n]*\n\s*|\r\n\r\n\s*"),
-    re.compile(r"[\r\n]+\s*"),
-    re.compile(r"[.!?]+[\"')\]»”’]*\s+|[。！？]+[”’」』）]*\s*"),
-    re.compile(r"[.!?。！？]|\s+"),
-)
+# Characters that make boundaries.
+_END_MARKS, _WIDE_MARKS = ".!?", "。！？"
+_CLOSERS, _WIDE_CLOSERS = "\"')]»”’", "”’」』）"
+
+#: Strength of a boundary, from strongest: end of a paragraph, line, sentence, word; a cut inside a run.
+PARAGRAPH, LINE, SENTENCE, WORD, INSIDE = range(5)
+
+_TABLE = 0x10000
+
+
+def _table(chars: str) -> np.ndarray:
+    out = np.zeros(_TABLE + 1, dtype=bool)  # the last entry stands for all characters beyond
+    out[[ord(c) for c in chars]] = True
+    return out
+
+
+_SPACE = _table("".join(c for c in map(chr, range(_TABLE)) if c.isspace()))
+_END, _WIDE, _CLOSE, _WIDE_CLOSE, _BREAK = (_table(x) for x in (_END_MARKS, _WIDE_MARKS, _CLOSERS, _WIDE_CLOSERS, "\r\n"))
+
+
+def boundaries(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """(positions, strengths, longest run): where a text can be cut, and the longest run without white space or end mark."""
+    codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), _TABLE)
+    n = len(codes)
+    space, end, wide = _SPACE[codes], _END[codes], _WIDE[codes]
+    mark = end | wide
+    stops = np.flatnonzero(space | mark)
+    longest = int(np.diff(np.concatenate([[-1], stops, [n]])).max()) - 1
+    strength = np.full(n + 1, INSIDE, dtype=np.int8)
+    strength[np.flatnonzero(mark) + 1] = WORD
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], space, [False]]).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]  # of runs of white space
+    if len(starts):
+        at = np.arange(n, dtype=np.int64)
+        last = np.maximum.accumulate(np.where(_CLOSE[codes], -1, at))  # the character before closing marks
+        before = np.where(starts > 0, last[np.maximum(starts - 1, 0)], -1)
+        sentence = (before >= 0) & end[np.maximum(before, 0)]
+        lines = np.concatenate([[0], np.cumsum(_BREAK[codes])])
+        feeds = np.concatenate([[0], np.cumsum(codes == 10)])
+        kind = np.where(sentence, SENTENCE, WORD)
+        kind = np.where(lines[ends] > lines[starts], LINE, kind)
+        strength[ends] = np.where(feeds[ends] - feeds[starts] > 1, PARAGRAPH, kind)
+    if wide.any():
+        at = np.arange(n + 1, dtype=np.int64)
+        beyond_closers = np.minimum.accumulate(np.where(np.append(_WIDE_CLOSE[codes], False), n, at)[::-1])[::-1]
+        beyond_space = np.minimum.accumulate(np.where(np.append(space, False), n, at)[::-1])[::-1]
+        after = np.flatnonzero(wide & ~np.append(wide[1:], False)) + 1
+        after = beyond_space[beyond_closers[after]]
+        strength[after] = np.minimum(strength[after], SENTENCE)
+    strength[0] = strength[n] = INSIDE
+    positions = np.flatnonzero(strength < INSIDE)
+    return positions, strength[positions], longest
 
 
 def has_solid_run(text: str, limit: int) -> bool:
     """Whether a run longer than ``limit`` holds neither white space nor a sentence-end mark."""
-    return any(len(run) > limit for run in re.split(r"[\s.!?。！？]", text))
-
-
-def _snap(text: str, low: int, high: int, target: int, reach: int) -> tuple[int, bool]:
-    """The cut in [low, high]: the strongest boundary within ``reach`` of ``target``, else any, else the target."""
-    for a, b in ((max(low, target - reach), min(high, target + reach)), (low, high)):
-        if a > b:
-            continue
-        for kind in BOUNDARIES:
-            ends = [m.end() for m in kind.finditer(text, max(0, a - 1), b) if a <= m.end() <= b]
-            if ends:
-                return min(ends, key=lambda e: (abs(e - target), e)), True
-    return min(max(target, low), high), False
-
-
-def split_text(text: str, limit: int = 1200, overlap: int = 120) -> list[tuple[int, int, bool]]:
+    return bool(text) and boundaries(text)[2] > limit
+
+
+def _with_forced(positions: np.ndarray, strengths: np.ndarray, first: int, n: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Boundaries beyond ``first``, with as few points as will do inside each stretch longer than ``step`` that has none."""
+    keep = positions > first
+    positions, strengths = positions[keep], strengths[keep]
+    ends = np.concatenate([[first], positions, [n]])
+    more = [
+        a + (b - a) * np.arange(1, k + 1) // (k + 1)
+        for a, b in zip(ends[:-1][np.diff(ends) > step], ends[1:][np.diff(ends) > step], strict=True)
+        for k in [-(-(b - a) // step) - 1]
+    ]
+    if more:
+        extra = np.concatenate(more)
+        positions, strengths = np.concatenate([positions, extra]), np.concatenate([strengths, np.full(len(extra), INSIDE, dtype=np.int8)])
+        order = np.argsort(positions, kind="stable")
+        positions, strengths = positions[order], strengths[order]
+    return positions, strengths
+
+
+def split_text(text: str, limit: int = 1200, overlap: int = 120, found: tuple[np.ndarray, np.ndarray, int] | None = None) -> list[tuple[int, int, bool]]:
     """(start, end, natural) of the pieces of ``text``; ``natural`` says whether ``end`` lies on a boundary.
 
     A text within the limit is one piece. Pieces cover the text without gaps, none is longer than ``limit``, and
-    each starts ``overlap`` characters before the end of the one before it.
+    each starts ``overlap`` characters before the end of the one before it. A run longer than ``limit`` less ``overlap`` has to be
+    cut inside, since a piece that holds it has no room for the overlap. ``found`` are the text's ``boundaries``, if known.
     """
     n = len(text)
     if n <= limit:
@@ -52,27 +106,28 @@ def split_text(text: str, limit: int = 1200, overlap: int = 120) -> list[tuple[i
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below limit")
     step = limit - overlap
-    least = -(-(n - overlap) // step)
-    best: list[tuple[int, int, bool]] = []
-    for pieces in range(least, least + 3 + least // 4):
-        equal = (n + (pieces - 1) * overlap) / pieces
-        out, last = [], 0
-        for i in range(1, pieces):
-            low = max(last + 1, overlap + 1, n - (pieces - i) * step)
-            high = min(last + step if i > 1 else limit, n - 1)
-            if low > high:
-                break
-            cut, natural = _snap(text, low, high, round(i * (equal - overlap) + overlap), limit // 4)
-            out.append((max(0, last - overlap) if i > 1 else 0, cut, natural))
-            last = cut
-        else:
-            if n - last + overlap <= limit:
-                out.append((last - overlap, n, True))
-                if not best or sum(not x[2] for x in out) < sum(not x[2] for x in best):
-                    best = out
-                if all(x[2] for x in best):
-                    break
-    return best
+    positions, strengths, _ = found or boundaries(text)
+    positions, strengths = _with_forced(positions, strengths, overlap, n, step)
+    # from the end, the earliest cut after which the rest fits in one piece, in two pieces and so on
+    earliest, at = [], n
+    while at - step > overlap:
+        at = int(positions[np.searchsorted(positions, at - step)])
+        earliest.append(at)
+    earliest.reverse()
+    pieces = len(earliest) + 1
+    equal = (n + (pieces - 1) * overlap) / pieces
+    out, last, start = [], overlap, 0
+    for i, low in enumerate(earliest, 1):
+        a, z = np.searchsorted(positions, [max(low, last + 1), last + step + 1])
+        target = i * (equal - overlap) + overlap
+        off = np.abs(positions[a:z] - target)
+        # the strongest within reach of the target, else the strongest at all; of equals the nearest
+        k = a + int(np.lexsort((positions[a:z], off, strengths[a:z], (off > limit // 4) | (strengths[a:z] == INSIDE)))[0])
+        cut = int(positions[k])
+        out.append((start, cut, bool(strengths[k] < INSIDE)))
+        start, last = cut - overlap, cut
+    out.append((start, n, True))
+    return out
 
 
 def split_items(df: DataFrame, id_column: str = "ori_id", items: str = "context", limit: int = 1200, overlap: int = 120, keep_short: bool = False) -> DataFrame:
@@ -95,8 +150,9 @@ def split_items(df: DataFrame, id_column: str = "ori_id", items: str = "context"
                 for no, text in enumerate(texts):
                     if text is None or (len(text) <= limit and not keep_short):
                         continue
-                    cut = "forced" if has_solid_run(text, limit) else "natural"
-                    for k, (a, z, natural) in enumerate(split_text(text, limit, overlap)):
+                    found = boundaries(text) if text else None
+                    cut = "forced" if found and found[2] > limit else "natural"
+                    for k, (a, z, natural) in enumerate(split_text(text, limit, overlap, found)):
                         rows.append((key, no, k, a, z - a, cut, natural, text[a:z]))
             yield pd.DataFrame(rows, columns=[id_column, "item_no", "piece_no", "start", "length", "cut", "on_boundary", "piece"])
 

@@ -57,3 +57,43 @@ def test_items_nulls_blanks_and_repeated_pages(spark):
     assert pieces.oversized_items(pieces.split_items(df)).count() == 3
     assert pieces.split_items(df.limit(0)).count() == 0
     assert pieces.split_items(df, keep_short=True).where("item_no = 4").count() == 2
+
+
+def test_boundaries_agree_with_patterns():
+    import re
+
+    rng = random.Random(5)
+    base = re.compile(r"\s+|[.!?。！？]")
+    for _ in range(300):
+        text = "".join(rng.choices(["a", "b", " ", "\n", "\r\n", ".", "!", "。", "”", ")", "\t", "　", "𝒳"], k=rng.randint(1, 60)))
+        positions, strengths, longest = pieces.boundaries(text)
+        got = dict(zip(positions.tolist(), strengths.tolist(), strict=True))
+        ends = {m.end() for m in base.finditer(text)} | {m.end() for m in re.finditer(r"[。！？]+[”’」』）]*\s*", text)}
+        assert set(got) == ends - {0, len(text)}
+        for kind, pattern in ((pieces.PARAGRAPH, r"\n[^\S\n]*\n\s*"), (pieces.LINE, r"[\r\n]\s*"), (pieces.SENTENCE, r"[.!?]+[\"')\]»”’]*\s+|[。！？]+[”’」』）]*\s*")):
+            assert all(got[m.end()] <= kind for m in re.finditer(pattern, text) if m.end() in got), (text, kind)
+        assert longest == max(len(r) for r in re.split(r"[\s.!?。！？]", text))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aaab .\n", min_size=0, max_size=900), st.integers(20, 60), st.integers(0, 10))
+def test_only_runs_that_no_piece_holds_are_cut_inside(text, limit, overlap):
+    import re
+
+    out = check(text, limit, overlap)
+    if len(text) > limit:
+        ends = [overlap, *sorted({m.end() for m in re.finditer(r"\s+|[.!?]", text)} - {len(text)} - set(range(overlap + 1))), len(text)]
+        need = sum(-(-(b - a) // (limit - overlap)) - 1 for a, b in zip(ends, ends[1:], strict=False))
+        assert sum(not x[2] for x in out) <= need
+
+
+def test_a_long_item_with_a_solid_run_takes_linear_time():
+    import time
+
+    rng = random.Random(2)
+    text = " ".join("word" * rng.randint(1, 3) for _ in range(1_300_000))
+    text = text[:5_000_000] + "x" * 1300 + " " + text[5_000_000:]
+    began = time.process_time()
+    out = check(text, 1200, 120)
+    assert len(text) > 10_000_000 and sum(not x[2] for x in out) == 1
+    assert time.process_time() - began < 6  # half a second or so; the machine may be slow
