@@ -23,10 +23,11 @@ from latticework.session import materialize
 
 DIM = 64
 
-#: Most rows of the sample on which the shards' borders are fitted (256 bytes each on the driver).
-SAMPLE = 20_000
+#: Rows of the sample on which the shards' borders are fitted: at least, for each shard, and at most (256 bytes each on the driver).
+SAMPLE, SAMPLE_EACH, SAMPLE_MOST = 20_000, 16, 200_000
 
-#: Vectors of one shard that the number of shards aims at; a shard is held in one task's memory.
+#: Vectors of one shard that the number of shards aims at; a shard is held in one task's memory. What no border can separate, and
+#: what the largest sample can fit no borders for, is split by id instead, and asked part by part.
 SHARD_ROWS = 24_000
 
 LEAF = 192
@@ -34,9 +35,13 @@ LEAF = 192
 #: More than single-precision similarities of unit rows, and rounding to 7 digits, are off.
 SLACK = 1e-5
 
-#: Groups of equal vectors larger than this are represented by their smallest ids.
+#: Groups of one direction larger than this don't ask one by one, and of equal vectors only the smallest ids are kept.
 COPIES = 64
 
+#: Vectors are of one direction if the components of their unit vectors are equal when rounded to this part: their similarity is
+#: then 1 to 7 digits (64 components off by less than 1 / 30,000).
+FINE = 3e4
+
 
 def usable(vector: Column, dim: int = DIM) -> Column:
     """Whether a vector has ``dim`` finite values and is not all zero; false for null."""
@@ -44,6 +49,14 @@ def usable(vector: Column, dim: int = DIM) -> Column:
     return F.coalesce((F.size(vector) == dim) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def direction(vector: Column) -> Column:
+    """A 64-bit key of a vector's direction, the same for scaled copies but for a rounding at the border of a cell."""
+    v = F.transform(vector, lambda x: x.cast("double"))
+    most = F.array_max(F.transform(v, F.abs))  # lengths near the end of the range must not overflow
+    norm = most * F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+    return F.xxhash64(F.transform(v, lambda x: F.rint(x / norm * FINE).cast("int")))
+
+
 def unit_rows(column: pd.Series, dim: int = DIM) -> np.ndarray:
     """Vectors as unit rows; computed in double precision, since any length may occur."""
     if not len(column):
@@ -216,66 +229,88 @@ def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
     return pd.DataFrame({"query": qids[a], "other": best.others[a, column], "sim": best.sims[a, column], "s": best.s[a, column]})
 
 
-def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, relax: float = 1.0, shard_relax: float | None = None, trees: int = 1, queries: Column | None = None, dim: int = DIM, seed: int = 7) -> DataFrame:
+def nearest(
+    vectors: DataFrame, k: int = 5, floor: float = -1.0, relax: float = 1.0, shard_relax: float | None = None, trees: int = 1,
+    queries: Column | None = None, dim: int = DIM, seed: int = 7, shard_rows: int = SHARD_ROWS,
+) -> DataFrame:
     """(query, other, sim, rank): for each query the ``k`` most similar other vectors, of at least ``floor``.
 
-    ``vectors`` has ``record_id`` and ``vector``; unusable vectors take no part, repeated ids are taken once, ties go
-    to the smaller ``other``. ``queries`` selects the rows that are queries (all by default); every row is in the
-    index. ``relax`` is the pruning factor within the shards and ``shard_relax`` (the same by default) that
-    between shards; with 1.0 the result is exact. An empty table gives no rows.
+    ``vectors`` has ``record_id`` and ``vector``; unusable vectors take no part, nor do rows without an id; repeated ids are taken
+    once, ties (of similarities rounded to 7 digits) go to the smaller ``other``. ``queries`` selects the rows that are queries
+    (all by default); every row is in the index. ``relax`` is the pruning factor within the shards and ``shard_relax`` (the
+    same by default) that between shards; with 1.0 the result is exact. An empty table gives no rows.
+
+    Of very many vectors of one direction the ``k + 1`` smallest ids ask and the others have the answer of the smallest, whose neighbours
+    are theirs: all of the direction are equally near. (A vector of another direction within 0.0003 of theirs counts as near as it is to
+    the smallest.) They stay in the index, but of equal vectors only the ``k + 1`` smallest ids do.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(usable(F.col("vector"), dim)).select("record_id", "vector")
+    rows = vectors.where(usable(F.col("vector"), dim) & F.col("record_id").isNotNull()).select("record_id", "vector")
     rows = rows.withColumn("asks", F.lit(True) if queries is None else F.coalesce(queries, F.lit(False)))
-    rows = rows.withColumn("same", F.xxhash64("vector"))
-    sizes = rows.groupBy("same").agg(F.count(F.lit(1)).alias("n"))
+    keyed = rows.withColumn("same", F.xxhash64("vector")).withColumn("aim", direction(F.col("vector")))
+    equal = keyed.groupBy("aim", "same").agg(F.count(F.lit(1)).alias("n"))
+    sizes = equal.groupBy("aim").agg(F.sum("n").alias("n"))
     total = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
-    n, spare = total.n or 0, None
+    n, spare, asked = total.n or 0, None, None
     if n and total.most > COPIES:
-        # of very many equal vectors the k + 1 smallest ids are the nearest of all the others
-        many = sizes.where(F.col("n") > COPIES).select("same")
-        by_id = Window.partitionBy("same").orderBy("record_id")
-        few = rows.select("same", "record_id").join(many, "same").distinct().withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
-        few = materialize(few.select("same", F.col("record_id").alias("other"), "r"), "copies")
-        spare = rows.select("same", "record_id", "asks").join(many, "same").join(few, F.col("record_id") == F.col("other"), "left_anti").where("asks").select("same", "record_id").distinct()
-        # the others have the neighbours of the smallest of their equals, and that one; it asks for them
-        leads = few.where("r = 1").select("same", F.col("other").alias("lead"))
-        spare = materialize(spare.join(leads, "same").select(F.col("record_id").alias("query"), "lead"), "spare")
-        few = few.drop("r", "same")
-        asked = rows.where("asks").select(F.col("record_id").alias("query"))
-        forced = leads.select(F.col("lead").alias("record_id"), F.lit(True).alias("leads"))
-        rows = rows.join(many, "same", "left_anti").unionByName(rows.join(few, (rows.record_id == few.other), "left_semi"))
-        rows = rows.select("same", "record_id", "vector", "asks").join(forced, "record_id", "left").withColumn("asks", F.col("asks") | F.col("leads").isNotNull()).drop("leads")
+        crowd = keyed.join(sizes.where(F.col("n") > COPIES).select("aim"), "aim", "left_semi").select("aim", "same", "record_id", "asks").distinct()
+        crowd = materialize(crowd, "crowd")
+        smallest = lambda key: F.row_number().over(Window.partitionBy(key).orderBy("record_id"))
+        firsts = materialize(crowd.select("aim", "record_id").distinct().withColumn("r", smallest("aim")).where(F.col("r") <= k + 1), "firsts")
+        kept = crowd.select("same", "record_id").distinct().withColumn("r", smallest("same")).where(F.col("r") <= k + 1)
+        left_out = materialize(crowd.select("record_id").distinct().join(kept, "record_id", "left_anti"), "copies")
+        leads = firsts.where("r = 1").select("aim", F.col("record_id").alias("lead"))
+        spare = crowd.where("asks").join(firsts, "record_id", "left_anti").join(leads, "aim").select(F.col("record_id").alias("query"), "lead").distinct()
+        spare = materialize(spare, "spare")
+        asked = rows.where("asks").select(F.col("record_id").alias("query")).distinct()
+        changed = spare.select(F.col("query").alias("record_id"), F.lit(False).alias("now")).unionByName(leads.select(F.col("lead").alias("record_id"), F.lit(True).alias("now")))
+        rows = rows.join(left_out, "record_id", "left_anti").join(changed, "record_id", "left").select("record_id", "vector", F.coalesce("now", "asks").alias("asks"))
         n = rows.count()
-    rows = rows.drop("same")
-    depth = max(2, int(np.ceil(np.log2(max(1, n) / SHARD_ROWS)))) if n else 0
-    fraction = min(1.0, SAMPLE / max(1, n))
+    depth = max(2, int(np.ceil(np.log2(max(1, n) / shard_rows)))) if n else 0
+    wanted = min(SAMPLE_MOST, max(SAMPLE, SAMPLE_EACH << depth))
+    fraction = min(1.0, wanted / max(1, n))
     sample = rows.select("vector") if fraction >= 1.0 else rows.sample(fraction * 0.9, seed).select("vector")
-    sample = unit_rows(sample.limit(SAMPLE).toPandas()["vector"], dim) if n else np.zeros((0, dim), np.float32)
-    tops = spark.sparkContext.broadcast([grow_shards(sample, depth, seed + t) if n else Node(leaf=0) for t in range(trees)])
+    sample = unit_rows(sample.limit(wanted).toPandas()["vector"], dim) if n else np.zeros((0, dim), np.float32)
+    depth = min(depth, max(2, int(np.log2(max(4, len(sample) * 2 // SAMPLE_EACH)))))
+    trees_at_top = [grow_shards(sample, depth, seed + t) if n else Node(leaf=0) for t in range(trees)]
+    parts = np.ones((trees, 1 << depth), dtype=np.int64)  # of each shard, by its share of the sample
+    for t, top in enumerate(trees_at_top):
+        for leaf, at in home(top, sample):
+            load = len(at) / max(1, len(sample)) * n
+            if load > 2 * shard_rows:
+                parts[t, leaf] = -(-int(load) // shard_rows)
+    first_cell = np.concatenate([[0], np.cumsum(parts.ravel())])[:-1].reshape(parts.shape)
+    tops = spark.sparkContext.broadcast((trees_at_top, parts, first_cell))
     between = relax if shard_relax is None else shard_relax
     radius = float(np.arccos(max(floor, -1.0)))
     kind = "float32" if rows.schema["vector"].dataType.elementType.typeName() == "float" else "float64"  # as given, so that nothing is lost
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grown, parts, first_cell = tops.value
         for b in batches:
             x = unit_rows(b["vector"], dim)
-            asks, ids = b["asks"].to_numpy(), b["record_id"].to_numpy()
+            asks, ids = b["asks"].to_numpy(dtype=bool), b["record_id"].to_numpy()
             packed = [np.asarray(v, dtype=kind).tobytes() for v in b["vector"]]
-            for t, top in enumerate(tops.value):
+            part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            for t, top in enumerate(grown):
                 stored = np.zeros(len(x), dtype=np.int64)
                 for leaf, at in home(top, x):
                     stored[at] = leaf
-                cells, at, role = [stored], [np.arange(len(x))], [np.where(asks, 3, 1)]
+                own = first_cell[t, stored] + part % parts[t, stored]
+                cells, at, role = [own], [np.arange(len(x))], [np.where(asks, 3, 1)]
                 who = np.flatnonzero(asks)
-                for leaf, part in reach(top, x[who], np.full(len(who), radius), between):
-                    part = who[part]
-                    part = part[stored[part] != leaf]
-                    cells.append(np.full(len(part), leaf))
-                    at.append(part)
-                    role.append(np.full(len(part), 2))
+                visits = list(reach(top, x[who], np.full(len(who), radius), between))
+                if (parts[t] > 1).any():  # the other parts of its own shard, whatever the pruning says of the shard
+                    visits += [(leaf, np.flatnonzero(stored[who] == leaf)) for leaf in np.flatnonzero(parts[t] > 1)]
+                for leaf, some in visits:
+                    for p in range(parts[t, leaf]):
+                        cell, asking = first_cell[t, leaf] + p, who[some]
+                        asking = asking[own[asking] != cell]
+                        cells.append(np.full(len(asking), cell))
+                        at.append(asking)
+                        role.append(np.full(len(asking), 2))
                 cells, at, role = np.concatenate(cells), np.concatenate(at), np.concatenate(role)
-                yield pd.DataFrame({"cell": cells + (t << depth), "role": role.astype("int8"), "record_id": ids[at], "v": [packed[i] for i in at]})
+                yield pd.DataFrame({"cell": cells, "role": role.astype("int8"), "record_id": ids[at], "v": [packed[i] for i in at]})
 
     def search(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         x = exact_units(np.frombuffer(b"".join(part["v"]), dtype=kind).reshape(len(part), -1)) if len(part) else np.zeros((0, dim))
@@ -295,7 +330,7 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, relax: float =
         one = F.lit(1.0)
         more = spare.join(ranked.withColumnRenamed("query", "lead"), "lead").select("query", "other", "sim", "s")
         more = more.unionByName(spare.select("query", F.col("lead").alias("other"), one.alias("sim"), one.alias("s")))
-        once = ranked.join(asked.distinct(), "query", "left_semi").unionByName(more)
+        once = ranked.join(asked, "query", "left_semi").unionByName(more)
     return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "other", "sim", "rank")
 
 
