@@ -49,14 +49,6 @@ def usable(vector: Column, dim: int = DIM) -> Column:
     return F.coalesce((F.size(vector) == dim) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def direction(vector: Column) -> Column:
-    """A 64-bit key of a vector's direction, the same for scaled copies but for a rounding at the border of a cell."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    most = F.array_max(F.transform(v, F.abs))  # lengths near the end of the range must not overflow
-    norm = most * F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
-    return F.xxhash64(F.transform(v, lambda x: F.rint(x / norm * FINE).cast("int")))
-
-
 def unit_rows(column: pd.Series, dim: int = DIM) -> np.ndarray:
     """Vectors as unit rows; computed in double precision, since any length may occur."""
     if not len(column):
@@ -71,6 +63,22 @@ def exact_units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+_ODD = np.random.default_rng(17).integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
+
+
+def direction(vector: Column) -> Column:
+    """A 64-bit key of a usable vector's direction, the same for scaled copies but for a rounding at the border of a cell."""
+
+    def key(column: pd.Series) -> pd.Series:
+        if not len(column):
+            return pd.Series([], dtype="int64")
+        cell = np.rint(exact_units(np.stack(column.to_numpy())) * FINE).astype(np.int64).view(np.uint64)
+        with np.errstate(over="ignore"):
+            return pd.Series((cell * np.resize(_ODD, cell.shape[1])).sum(axis=1, dtype=np.uint64).view(np.int64))
+
+    return F.pandas_udf(key, "bigint")(vector)
+
+
 def _angles(x: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ v, -1.0, 1.0))
 
