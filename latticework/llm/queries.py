@@ -90,18 +90,6 @@ QUERIES = {
     "p8_spans": p8_spans,
 }
 
-SQL = {
-    "p4_found": p4_found,
-    "p4_pieces": p4_pieces,
-    "p5_found": p5_found,
-    "p5_nearest": p5_nearest,
-    "p6_ids": p6_ids,
-    "p7_clean": p7_clean,
-    "p7_found": p7_found,
-    "p8_found": p8_found,
-    "p8_spans": p8_spans,
-}
-
 SQL = {
     "p2_found": r"""
         WITH r AS (SELECT DISTINCT record_id, updated_at, attributes.description AS d, attributes.confidence AS c, source,

@@ -29,6 +29,9 @@ UNIT = 200
 #: Units in more texts than this are grouped by whole windows of the least length instead of by pairs of units.
 HOT = 64
 
+#: Copies of one text that are paired with all the others in one task.
+COPY_PART = 2000
+
 _BASE = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -220,9 +223,10 @@ def find_shared(docs: DataFrame, least: int = LEAST, unit: int = UNIT, exact_end
     firsts = members.where("doc_id = rep").select("rep").distinct()
     texts = docs.withColumnRenamed("doc_id", "rep")
     units = _units(texts, unit, least)
-    of_unit = Window.partitionBy("h")
-    spread = units.select("*", F.min("rep").over(of_unit).alias("lo"), F.max("rep").over(of_unit).alias("hi"), F.count(F.lit(1)).over(of_unit).alias("n"))
-    shared = materialize(spread.where("lo < hi").select("h", "rep", "at", "n").join(firsts, "rep", "left_semi"), "units")
+    units = materialize(units.join(firsts, "rep", "left_semi"), "all_units")
+    # counted map-side, so that a unit of very many texts is no one task
+    several = units.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("h", "n")
+    shared = materialize(units.join(several, "h").select("h", "rep", "at", "n"), "units")
     few = shared.where(F.col("n") <= hot)
     left = few.select("h", F.col("rep").alias("a"), F.col("at").alias("at"))
     right = few.select("h", F.col("rep").alias("b"), F.col("at").alias("at_b"))
@@ -246,12 +250,19 @@ def text_pairs(found: Shared) -> DataFrame:
 
 
 def sharing_pairs(found: Shared) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: every pair of documents with a common stretch, exact copies included."""
+    """(doc_a, doc_b), doc_a < doc_b: every pair of documents with a common stretch, exact copies included.
+
+    Copies of one text are paired in parts of at most ``COPY_PART`` of them, so that a text of very many copies is no one task.
+    """
     reps = text_pairs(found)
     first = found.members.select(F.col("rep").alias("a"), F.col("doc_id").alias("x"))
     second = found.members.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
     across = reps.join(first, "a").join(second, "b").select("x", "y")
-    within = first.join(second.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
+    parts = found.members.groupBy(F.col("rep").alias("a")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", F.ceil(F.col("n") / COPY_PART).alias("parts"))
+    twins = first.join(parts, "a")
+    left = twins.select("a", "x", F.pmod(F.xxhash64("x"), F.col("parts")).alias("part"))
+    right = twins.select("a", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    within = left.join(right, ["a", "part"]).where("x < y").select("x", "y")
     return across.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).unionByName(within.toDF("doc_a", "doc_b"))
 
 
@@ -293,25 +304,39 @@ def _merged(intervals: DataFrame) -> DataFrame:
     return intervals.groupBy("rep").agg(F.collect_set(F.struct("start", "stop")).alias("cuts")).mapInPandas(merge, _SPANS)
 
 
-def shared_report(docs: DataFrame, least: int = LEAST, unit: int = UNIT) -> DataFrame:
+def shared_report(docs: DataFrame, least: int = LEAST, unit: int = UNIT, hot: int = HOT) -> DataFrame:
     """For each document that shares a stretch: its length, the shared stretches (start, length; merged), how many
-    characters and what share of the text they cover, and the number of partner documents with the smallest one.
+    characters and what share of the text they cover, the partner documents in number and the smallest one.
 
-    Exact copies share their whole text. Documents that share nothing do not come out.
+    ``n_partners`` counts exact copies and the documents that share a stretch which at most ``hot`` different texts hold;
+    ``n_common`` is the number of other documents that hold the most frequent of the stretches in more texts, of which no pairs
+    are made. Exact copies share their whole text. Documents that share nothing do not come out.
     """
-    found = find_shared(docs, least, unit, exact_ends=True)
-    found = Shared(found.texts, found.members, materialize(found.pairs, "pairs"), found.hot, least)
+    found = find_shared(docs, least, unit, exact_ends=True, hot=hot)
+    found = Shared(found.texts, found.members, materialize(found.pairs, "pairs"), materialize(found.hot, "hot"), least)
     groups = found.members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"), F.min(F.when(F.col("doc_id") != F.col("rep"), F.col("doc_id"))).alias("second"))
-    reps = text_pairs(found)
-    both = reps.select(F.col("a").alias("rep"), F.col("b").alias("o")).unionByName(reps.select(F.col("b").alias("rep"), F.col("a").alias("o")))
+    groups = materialize(groups, "groups")
     sizes = groups.select(F.col("rep").alias("o"), "copies")
+    once = materialize(found.hot.select("w", "rep").distinct().join(groups.select("rep", "copies"), "rep"), "held")
+    held = once.groupBy("w").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("holders"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    held = materialize(held, "windows")
+    some = once.join(held.where(F.col("texts") <= hot).select("w"), "w").select("w", "rep")  # few texts, if in many places
+    rare = some.join(some.withColumnRenamed("rep", "other"), "w").where("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+    held = held.where(F.col("texts") > hot)
+    reps = found.pairs.select("a", "b").unionByName(rare).distinct()
+    both = reps.select(F.col("a").alias("rep"), F.col("b").alias("o")).unionByName(reps.select(F.col("b").alias("rep"), F.col("a").alias("o")))
     near = both.join(sizes, "o").groupBy("rep").agg(F.sum("copies").alias("near"), F.min("o").alias("low"))  # copies are counted, not paired
+    # the smallest other text of a window is the smallest, or for that one the second smallest, found among the rest
+    runner = once.join(held.select("w", "lo"), "w").where(F.col("rep") > F.col("lo")).groupBy("w").agg(F.min("rep").alias("next"))
+    in_hot = once.join(held.join(runner, "w"), "w").groupBy("rep").agg(
+        F.max(F.col("holders") - F.col("copies")).alias("n_common"), F.min(F.when(F.col("rep") == F.col("lo"), F.col("next")).otherwise(F.col("lo"))).alias("low_common")
+    )
     own = F.when(F.col("doc_id") == F.col("rep"), F.col("second")).otherwise(F.col("rep"))
-    partners = found.members.join(groups, "rep").join(near, "rep", "left").select(
-        "doc_id", "rep", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_partners"), F.least(own, "low").alias("first_partner")
-    ).where("n_partners > 0")
+    partners = found.members.join(groups, "rep").join(near, "rep", "left").join(in_hot, "rep", "left").select(
+        "doc_id", "rep", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_partners"), F.coalesce("n_common", F.lit(0)).alias("n_common"), F.least(own, "low", "low_common").alias("first_partner")
+    ).where("n_partners + n_common > 0")
     twins = groups.where("copies > 1").select("rep")
-    lengths = docs.where(F.length("text") >= least).select("doc_id", F.length("text").alias("n_chars"))
+    lengths = docs.where(F.length("text") >= least).select("doc_id", F.length("text").alias("n_chars")).distinct()
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_chars").alias("length")))
     spans = _merged(_intervals(found, False))
     return (
@@ -320,7 +345,7 @@ def shared_report(docs: DataFrame, least: int = LEAST, unit: int = UNIT) -> Data
             "doc_id", "n_chars",
             F.when(F.col("twin"), F.col("n_chars")).otherwise(F.col("shared_chars")).alias("shared_chars"),
             F.when(F.col("twin"), whole).otherwise(F.col("spans")).alias("spans"),
-            "n_partners", "first_partner",
+            "n_partners", "n_common", "first_partner",
         )
         .withColumn("share", F.col("shared_chars") / F.col("n_chars"))
     )

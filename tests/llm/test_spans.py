@@ -2,6 +2,7 @@ import random
 
 import pytest
 from latticework.llm import spans
+from pyspark.sql import functions as F
 
 
 def brute(docs, least):
@@ -64,3 +65,23 @@ def test_empty_table_and_bad_unit(spark):
     assert spans.sharing_pairs(spans.find_shared(df)).count() == 0
     with pytest.raises(ValueError):
         spans.find_shared(df, 10, 11)
+
+
+def test_report_of_frequent_stretches_makes_no_pairs(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh 世é\n") for _ in range(n))
+    common = word(70)
+    docs = [(i, word(20) + common + word(20)) for i in range(12)] + [(20, "x" + common), (21, "x" + common), (22, common), (30, word(90))]
+    got = {r.doc_id: r for r in spans.shared_report(spark.createDataFrame(docs, "doc_id bigint, text string"), 60, 35, hot=3).collect()}
+    pairs, cover = brute(docs, 60)
+    assert {k: r.shared_chars for k, r in got.items()} == cover and 30 not in got
+    assert {k: r.n_common for k, r in got.items()} == {k: 13 if k in (20, 21) else 14 for k in cover}
+    assert all(r.n_partners <= sum(k in p for p in pairs) for k, r in got.items())
+    assert {k: r.first_partner for k, r in got.items()} == {k: min(a + b - k for a, b in pairs if k in (a, b)) for k in cover}
+
+
+def test_very_many_copies_are_counted(spark):
+    text = "".join(map(chr, range(300, 760)))
+    df = spark.range(20_000).selectExpr("id AS doc_id").withColumn("text", F.lit(text))
+    r = spans.shared_report(df).groupBy("n_partners", "n_common", "shared_chars").count().collect()
+    assert [tuple(x) for x in r] == [(19_999, 0, 460, 20_000)]
