@@ -68,16 +68,31 @@ def think_and_answer(s: Column) -> Column:
     return F.struct(F.regexp_extract(s, pattern, 1).alias("thought"), F.trim(F.regexp_extract(s, pattern, 2)).alias("answer"))
 
 
-def world_model(s: Column, tags: tuple[str, ...] = ("observation", "reasoning", "prediction", "answer")) -> Column:
-    """One field per tag; the answer in lower case."""
-    return F.struct(*[(F.lower(F.trim(F.regexp_extract(s, f"(?s)<{t}>(.*?)</{t}>", 1))) if t == "answer" else F.trim(F.regexp_extract(s, f"(?s)<{t}>(.*?)</{t}>", 1))).alias(t) for t in tags])
+def stripped(s: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(s, r"^\s+|\s+$", "")
+
+
+def world_model(s: Column, separator: str = ",", most: int = 3) -> Column:
+    """(observation, think, answer, prediction, actions, format_correct) of a reply in that format and order.
+
+    ``actions`` are the parts of the answer, lower-cased, without blanks, at most ``most``; if there were more, the answer is
+    made of those kept. A reply in another format, or null, gives empty texts and no actions.
+    """
+    pattern = r"(?s)<observation>(.*?)</observation>\s*<think>(.*?)</think>\s*<answer>(.*?)</answer>\s*<prediction>(.*?)</prediction>"
+    s = F.coalesce(s, F.lit(""))
+    part = lambda i: stripped(F.regexp_extract(s, pattern, i))
+    actions = F.filter(F.transform(F.split(part(3), re.escape(separator)), lambda x: F.lower(stripped(x))), lambda x: x != "")
+    answer = F.when(F.size(actions) > most, F.array_join(F.slice(actions, 1, most), separator)).otherwise(part(3))
+    return F.struct(part(1).alias("observation"), part(2).alias("think"), answer.alias("answer"), part(4).alias("prediction"), F.slice(actions, 1, most).alias("actions"), s.rlike(pattern).alias("format_correct"))
 
 
 def action_parts(s: Column) -> Column:
-    """(verb, arg, number): an action like ``move(3)`` or ``move: 3``; number is null unless arg is an integer."""
-    pattern = r"^\s*([A-Za-z_]+)\s*[:(]?\s*(.*?)\)?\s*$"
-    arg = F.regexp_extract(s, pattern, 2)
-    return F.struct(F.lower(F.regexp_extract(s, pattern, 1)).alias("verb"), arg.alias("arg"), arg.try_cast("int").alias("number"))
+    """(verb, arg, number): an action such as ``MOVE Paris`` split once at white space, in its own case; ``arg`` is null if there is
+    none, ``number`` unless it is an integer."""
+    pattern = r"(?s)^\s*(\S+)(?:\s+(\S.*?))?\s*$"
+    arg = F.nullif(F.regexp_extract(s, pattern, 2), F.lit(""))
+    return F.struct(F.nullif(F.regexp_extract(s, pattern, 1), F.lit("")).alias("verb"), arg.alias("arg"), F.when(arg.rlike(r"^[+-]?\d+$"), arg.try_cast("int")).alias("number"))
 
 
 def final_number(s: Column, strict: bool = True, tail: int = 300) -> Column:

@@ -78,16 +78,17 @@ def replay(actions: DataFrame, tasks: DataFrame, edges: DataFrame, names: DataFr
     return log
 
 
-def observation(edges: DataFrame, names: DataFrame, most: int = 50) -> DataFrame:
-    """(id, relations): what can be seen from each node, up to ``most`` (neighbour, move, source) in order of name.
+def observation(edges: DataFrame, names: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, relations): what can be seen from each node, every (neighbour, move, source) in order of name.
 
-    The limit is what a prompt can show; the list of a hub is cut by a grouped top-k before it is collected.
+    With ``most`` the list is cut to what a prompt can show, by a grouped top-k before it is collected.
     """
     from pyspark.sql import Window
 
     rows = edges.join(names.select(C("id").alias("next"), C("name").alias("neighbour")), "next")
-    place = F.row_number().over(Window.partitionBy("cur").orderBy("neighbour", "key"))
-    rows = rows.withColumn("_r", place).where(C("_r") <= most)
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy("cur").orderBy("neighbour", "key"))
+        rows = rows.withColumn("_r", place).where(C("_r") <= most)
     return rows.groupBy(C("cur").alias("id")).agg(F.array_sort(F.collect_list(F.struct("neighbour", "move", "source"))).alias("relations"))
 
 

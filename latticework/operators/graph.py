@@ -349,13 +349,19 @@ def packed_evidence(sources: Column, most: int = 6) -> Column:
     return F.slice(F.concat(F.filter(sources, is_chart), F.filter(sources, lambda s: ~is_chart(s))), 1, most)
 
 
-QUERY_TYPES = ("Comparison", "Trend", "Aggregation", "Causal", "Ranking")
-
-
-def validated_answer(kind: Column, evidence: Column, pool: Column) -> Column:
-    """A struct of the kind (``Comparison`` if unknown) and the evidence within the pool (the pool if none is)."""
-    inside = F.array_intersect(evidence, pool)
-    return F.struct(F.when(kind.isin(*QUERY_TYPES), kind).otherwise("Comparison").alias("kind"), F.when(F.size(inside) > 0, inside).otherwise(pool).alias("evidence"))
+#: Kinds of questions.
+QUERY_TYPES = ("FactCheck", "Manipulation", "Comparison", "Trend", "Analysis")
+
+
+def validated_answer(kind: Column, evidence: Column, pool: Column, charts: Column | None = None, index: Column | None = None) -> Column:
+    """A struct of the kind (``Comparison`` if unknown or null), the evidence within the pool in its own order (the pool if none is)
+    and, of the cited ``charts`` (chunk ids), those in the ``index`` of shown images (chunk id to number), with their number."""
+    inside = F.filter(F.coalesce(evidence, F.array().cast("array<string>")), lambda x: F.coalesce(F.array_contains(pool, x), F.lit(False)))
+    fields = [F.when(kind.isin(*QUERY_TYPES), kind).otherwise("Comparison").alias("kind"), F.when(F.size(inside) > 0, inside).otherwise(pool).alias("evidence")]
+    if charts is not None and index is not None:
+        known = F.filter(F.coalesce(charts, F.array().cast("array<string>")), lambda x: x.isNotNull() & F.array_contains(F.map_keys(index), x))
+        fields.append(F.transform(known, lambda x: F.struct(x.alias("chunk_id"), F.element_at(index, x).alias("image_index"))).alias("charts"))
+    return F.struct(*fields)
 
 
 def difficulty(paths: Column, used: Column, subjective: Column) -> Column:

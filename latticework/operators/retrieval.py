@@ -92,6 +92,11 @@ def candidate_links(found: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.least("qid", "id").alias("a"), F.greatest("qid", "id").alias("b")).distinct()
 
 
+def layer_of(level: Column, last: int) -> Column:
+    """The layer of an entity: its level, or the last layer if that is unknown or no layer."""
+    return F.when((level >= 0) & (level <= last), level).otherwise(F.lit(last))
+
+
 def union_top_k(layers: list[DataFrame], k: int) -> DataFrame:
     """The ``k`` best over the per-layer results of each query."""
     rows = layers[0]
@@ -258,7 +263,7 @@ def micro(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def hashed_embedding(text: Column, dim: int = 16) -> Column:
-    """A deterministic bag-of-words vector, as the offline stand-in for an encoder: token counts by hash bucket."""
+    """A deterministic bag-of-words vector, as the offline stand-in for an encoder: token counts by bucket of the word's digest."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != "")
-    place = F.transform(words, lambda t: F.pmod(F.length(t) * 31 + F.ascii(t), F.lit(dim)).cast("int"))
+    place = F.transform(words, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim).cast("int"))
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(place, lambda p: p == i)).cast("double"))

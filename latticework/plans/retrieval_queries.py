@@ -108,7 +108,8 @@ def _entities(spark, d):
 def _g12(spark, d):
     x = _entities(spark, d)
     q = x.where("id % 100 = 0").select(F.col("id").alias("qid"), "vector")
-    found = R.union_top_k([R.top_k(q, x.where(c), 10, digits=4) for c in ("level = 1", "level = 2", "level = 3")], 10)
+    x = x.withColumn("layer", R.layer_of(F.col("level"), 3))
+    found = R.union_top_k([R.top_k(q, x.where(F.col("layer") == i), 10, digits=4) for i in range(4)], 10)
     return R.sources_of(found, x).select("qid", F.array_join("sources", ",").alias("sources"))
 
 
@@ -126,7 +127,7 @@ def _o15(spark, d):
 QUERIES = {
     "o01_cosine_top_k": _o01,
     "o02_partial_final_top_k": _o02,
-    "o03_relation_top_k": lambda s, d: R.top_k(_vectors(s, d)[0], _vectors(s, d)[1].where("label < 5"), 3),
+    "o03_relation_top_k": lambda s, d: R.top_k(_vectors(s, d)[0], _vectors(s, d)[1], 3),
     "o04_rerank": _o04,
     "o14_inner_product_top_k": _o14,
     "o15_bm25": _o15,
@@ -192,7 +193,7 @@ _ENT = "en AS (SELECT record_id AS id, any_value(attributes.embedding) AS embedd
 SQL = {
     "o01_cosine_top_k": _top(5),
     "o02_partial_final_top_k": _top(5),
-    "o03_relation_top_k": _top(3, "b.label < 5"),
+    "o03_relation_top_k": _top(3),
     "o04_rerank": f"""WITH w AS ({_top(20)}), n AS ({_top(3, "b.vec_id IN (SELECT max(vec_id) FROM embeddings GROUP BY label)")}) SELECT qid, id, rank FROM n ANTI JOIN w USING (qid, id)""",
     "o14_inner_product_top_k": _top(5, sim="floor(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE"),
     "o15_bm25": f"WITH {_BM} SELECT qid, doc_id, score, rank FROM bm WHERE rank <= 5",
@@ -205,10 +206,10 @@ SQL = {
     "j15_load_documents": f"WITH {_BM} SELECT qid, doc_id, lang FROM bm JOIN documents USING (doc_id) WHERE rank <= 5",
     "j16_search_ids": "SELECT id FROM relation WHERE source_id IN (SELECT id FROM entity_root)",
     "g11_hashed_embedding": r"""WITH x AS (SELECT DISTINCT record_id, name, coalesce(attributes.description, '') AS e FROM entity),
-        t AS (SELECT record_id, list_transform(list_filter(regexp_split_to_array(lower(coalesce(name || ' ' || e, '')), '[\s\x0b]+'), lambda w: w <> ''), lambda w: (length(w) * 31 + ord(w)) % 16) AS p FROM x)
+        t AS (SELECT record_id, list_transform(list_filter(regexp_split_to_array(lower(coalesce(name || ' ' || e, '')), '[\s\x0b]+'), lambda w: w <> ''), lambda w: CAST(('0x' || substr(md5(w), 1, 8))::UBIGINT % 16 AS INTEGER)) AS p FROM x)
         SELECT record_id, array_to_string(list_transform(range(16), lambda i: len(list_filter(p, lambda q: q = i))), ',') AS v FROM t""",
     "g12_graph_search": f"""WITH {_ENT}, s AS (SELECT a.id AS qid, b.id, b.source, floor(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0) * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS sim
-            FROM en a, en b WHERE a.id % 100 = 0 AND b.level IN (1, 2, 3)),
+            FROM en a, en b WHERE a.id % 100 = 0),
         t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN isnan(sim) THEN 0 ELSE sim END DESC, id) AS k FROM s) WHERE k <= 10),
         u AS (SELECT DISTINCT qid, unnest(source) AS src FROM t) SELECT qid, string_agg(src, ',' ORDER BY src) AS sources FROM u WHERE src IS NOT NULL GROUP BY qid""",
     "g13_batch_retrieval": f"WITH t AS ({_top(3)}) SELECT qid, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM t GROUP BY qid",

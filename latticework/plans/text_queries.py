@@ -42,6 +42,7 @@ def _tagged(s, d):
 
 _TAGGED = f"""{QA}, tg AS (SELECT task_id, '<think>x</think> Step  <answer>old</answer> then <answer> ' || CASE WHEN task_id % 4 = 0 THEN 'The ' ELSE '' END || regexp_replace(answer, '[<>]', '', 'g') || '</answer>' AS t,
     regexp_replace(answer, '[<>]', '', 'g') AS gold FROM qa WHERE answer IS NOT NULL)"""
+_STRIP = r"regexp_replace({x}, '^[\s\x0b]+|[\s\x0b]+$', '', 'g')"
 _EDGE = r"'(^|[^\p{{L}}\p{{N}}_])(?:a|an|the)([^\p{{L}}\p{{N}}_]|$)', '\1 \2', 'g'"  # RE2's \b knows ASCII letters only
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[!-/:-@\[-`{{-~]', '', 'g'), " + _EDGE + r"), " + _EDGE + r"), '\s+', ' ', 'g'), ' ')"
 
@@ -50,8 +51,19 @@ def _n(x):
     return _NORM.format(x=x)
 
 
+def _t05(s, d):
+    n, body = F.col("task_id") % 4, F.regexp_replace(F.coalesce("answer", F.lit("")), "[<>]", "")
+    think, answer = F.concat(F.lit("<think> "), F.coalesce("gt_sources", F.lit("")), F.lit("\n</think>\n")), F.concat(F.lit("<answer>"), body, F.lit(" , UP,,Left a</answer> "))
+    seen, after = F.lit("so <observation>o\n</observation> "), F.lit("<prediction>p</prediction> x")
+    t = F.when(n == 0, F.concat(seen, think, after)).when(n == 1, F.concat(seen, answer, think, after)).otherwise(F.concat(seen, think, answer, after))
+    x = qa(s, d).select("task_id", T.world_model(t).alias("x")).select("task_id", "x.*")
+    return x.withColumn("actions", F.array_join("actions", "|"))
+
+
 def _t06(s, d):
-    e = table(s, d, "events", "event_id", F.concat("event_type", F.lit("("), F.when(F.col("event_id") % 3 == 0, F.lit("abc")).otherwise(F.col("event_id").cast("string")), F.lit(")")).alias("a"))
+    n = F.col("event_id") % 5
+    arg = F.when(n == 0, F.lit("  New   York 3 ")).when(n == 1, F.lit("")).when(n == 2, F.lit(" 7x")).otherwise(F.concat(F.lit("\t"), F.col("event_id").cast("string"), F.lit(" ")))
+    e = table(s, d, "events", "event_id", F.concat(F.lit(" "), F.initcap("event_type"), arg).alias("a"))
     return e.select("event_id", T.action_parts(F.col("a")).alias("x")).select("event_id", "x.*")
 
 
@@ -191,7 +203,7 @@ QUERIES = {
     "t02_names_alike": lambda s, d: _pairs(s, d).select("id", T.names_alike(F.col("a"), F.col("b")).alias("x")),
     "t03_entity_text": lambda s, d: table(s, d, "entity", "record_id", F.concat(F.col("name"), F.lit(" "), F.col("attributes.description")).alias("t")).distinct(),
     "t04_think_and_answer": lambda s, d: _tagged(s, d).select("task_id", T.think_and_answer(F.col("t")).alias("x")).select("task_id", "x.*"),
-    "t05_world_model": lambda s, d: qa(s, d).select("task_id", T.world_model(F.concat(F.lit("<observation>o</observation><reasoning>"), F.coalesce("gt_sources", F.lit("")), F.lit("</reasoning><prediction>p</prediction><answer>UP</answer>"))).alias("x")).select("task_id", "x.*"),
+    "t05_world_model": _t05,
     "t06_action_parts": _t06,
     "t07_answer_normal": lambda s, d: qa(s, d).select("task_id", T.answer_normal(F.col("query")).alias("x")),
     "t08_exact_match": lambda s, d: _tagged(s, d).select("task_id", T.exact_match(T.last_tag(F.col("t")), F.col("gold")).alias("em"), T.contained_match(F.col("t"), F.col("gold")).alias("sub")),
@@ -274,8 +286,12 @@ SQL = {
         SELECT id, NOT ({_DIFF}) AND (levenshtein(a, b) <= least(length(a), length(b)) // 2 OR CASE WHEN m < 4 THEN k > 1 ELSE k / m >= 0.8 END) AS x FROM c""",
     "t03_entity_text": "SELECT DISTINCT record_id, name || ' ' || attributes.description AS t FROM entity",
     "t04_think_and_answer": rf"WITH {_TAGGED} SELECT task_id, regexp_extract(t, '(?s)^(.*?)\s*<answer>(.*?)</answer>', 1) AS thought, trim(regexp_extract(t, '(?s)^(.*?)\s*<answer>(.*?)</answer>', 2), ' ') AS answer FROM tg",
-    "t05_world_model": _q("SELECT task_id, 'o' AS observation, trim(coalesce(gt_sources, ''), ' ') AS reasoning, 'p' AS prediction, 'up' AS answer FROM qa"),
-    "t06_action_parts": "SELECT event_id, lower(event_type) AS verb, CASE WHEN event_id % 3 = 0 THEN 'abc' ELSE CAST(event_id AS VARCHAR) END AS arg, CAST(CASE WHEN event_id % 3 <> 0 THEN event_id END AS INTEGER) AS number FROM events",
+    "t05_world_model": _q(f"""SELECT task_id, task_id % 4 > 1 AS format_correct, CASE WHEN task_id % 4 > 1 THEN 'o' ELSE '' END AS observation, CASE WHEN task_id % 4 > 1 THEN 'p' ELSE '' END AS prediction,
+        CASE WHEN task_id % 4 > 1 THEN {_STRIP.format(x="coalesce(gt_sources, '')")} ELSE '' END AS think, CASE WHEN task_id % 4 > 1 THEN array_to_string(a[1 : 3], '|') ELSE '' END AS actions,
+        CASE WHEN task_id % 4 < 2 THEN '' WHEN len(a) > 3 THEN array_to_string(a[1 : 3], ',') ELSE {_STRIP.format(x="b")} END AS answer
+        FROM (SELECT *, list_filter(list_transform(string_split(b, ','), lambda v: lower({_STRIP.format(x="v")})), lambda v: v <> '') AS a
+              FROM (SELECT *, regexp_replace(coalesce(answer, ''), '[<>]', '', 'g') || ' , UP,,Left a' AS b FROM qa))"""),
+    "t06_action_parts": "SELECT event_id, upper(event_type[1]) || lower(event_type[2:]) AS verb, CASE event_id % 5 WHEN 0 THEN 'New   York 3' WHEN 1 THEN NULL WHEN 2 THEN '7x' ELSE CAST(event_id AS VARCHAR) END AS arg, CAST(CASE WHEN event_id % 5 > 2 THEN event_id END AS INTEGER) AS number FROM events",
     "t07_answer_normal": _q(f"SELECT task_id, {_n('query')} AS x FROM qa"),
     "t08_exact_match": f"WITH {_TAGGED} SELECT task_id, {_n(_LAST)} = {_n('gold')} AS em, contains({_n('t')}, {_n('gold')}) AS sub FROM tg",
     "t09_tag_score": f"WITH {_TAGGED} SELECT task_id, CASE WHEN {_n(_LAST)} = {_n('gold')} THEN CASE WHEN len(regexp_extract_all(t, '<answer>')) > 1 THEN 0.25 ELSE 1.0 END ELSE 0.0 END::DOUBLE AS score FROM tg",
@@ -322,8 +338,8 @@ SQL = {
     "e02_replay": f"""WITH {_EP} SELECT episode, CAST(step AS INTEGER) AS step, action, action <> 'FLY' AS executed, CAST(reward AS DOUBLE) AS reward FROM rt,
         (VALUES (0, 'START', 0.0), (1, 'EDGE_SEARCH', 7.0), (2, 'EDGE_SEARCH', 4.0), (3, 'MOVE', 7.0), (4, 'BACKWARD', 5.0), (5, 'FLY', 4.0), (6, 'STOP', 5.0)) a(step, action, reward)""",
     "e08_episode_totals": f"WITH {_EP} SELECT episode, 32.0::DOUBLE AS total, CAST(6 AS BIGINT) AS executed FROM rt",
-    "e09_observation": f"WITH {GQ.EDGES}, o AS (SELECT cur, nd.name, row_number() OVER (PARTITION BY cur ORDER BY nd.name, key) AS k FROM ed JOIN nd ON nd.id = next WHERE nd.name IS NOT NULL) SELECT cur AS id, CAST(count(*) AS INTEGER) AS n, min(name) AS first FROM o WHERE k <= 50 GROUP BY cur",
-    "s06_file_kinds": "SELECT ori_id, p, regexp_matches(lower(p), '\\.(png|jpg|jpeg|gif|bmp)$') AS image, regexp_matches(lower(p), '\\.(txt|md)$') AS text FROM (SELECT DISTINCT ori_id, unnest(image_paths) AS p FROM chart_entry) WHERE p IS NOT NULL".replace("\\\\", "\\"),
+    "e09_observation": f"WITH {GQ.EDGES}, o AS (SELECT cur, nd.name, row_number() OVER (PARTITION BY cur ORDER BY nd.name, key) AS k FROM ed JOIN nd ON nd.id = next WHERE nd.name IS NOT NULL) SELECT cur AS id, CAST(count(*) AS INTEGER) AS n, min(name) AS first FROM o GROUP BY cur",
+    "s06_file_kinds": "SELECT ori_id, p, regexp_matches(lower(p), '\\.(png|jpg|jpeg|gif|bmp)$') AS image, regexp_matches(lower(p), '\\.txt$') AS text FROM (SELECT DISTINCT ori_id, unnest(image_paths) AS p FROM chart_entry) WHERE p IS NOT NULL".replace("\\\\", "\\"),
     "s08_task_columns": _q("SELECT task_id, CAST(CASE WHEN gt_sources IS NULL THEN 0 WHEN starts_with(gt_sources, '[') THEN json_array_length(gt_sources) ELSE len(string_split(gt_sources, ',')) END AS INTEGER) AS n, CAST(CASE WHEN start_candidates IS NULL THEN 0 WHEN starts_with(start_candidates, '[') THEN json_array_length(start_candidates) ELSE 1 END AS INTEGER) AS starts FROM qa"),
     "k08_flattened": "SELECT DISTINCT id, attributes.description AS description, attributes.chunk_id AS chunk_id FROM relation",
     "k09_generation_sample": _q("SELECT task_id FROM qa ORDER BY (task_id * 2654435761 + 42) % 4294967296, task_id LIMIT 50"),

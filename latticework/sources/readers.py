@@ -57,11 +57,14 @@ def whole_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def json_text(text: Column) -> Column:
-    """The strings of a JSON object or list, one per line; any other text as it stands."""
-    body = F.trim(text)
-    of_map = F.filter(F.map_values(F.from_json(body, "map<string,string>")), lambda x: x.isNotNull())
-    of_list = F.filter(F.from_json(body, "array<string>"), lambda x: x.isNotNull())
-    return F.coalesce(F.when(body.startswith("{"), F.array_join(of_map, "\n")), F.when(body.startswith("["), F.array_join(of_list, "\n")), text)
+    """The strings of a JSON object or list, one per line, without values of other types; a JSON string's content; any other text
+    as it stands."""
+    body = F.regexp_replace(text, r"^\s+|\s+$", "")
+    strings = lambda xs: F.transform(F.filter(xs, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    of_map = strings(F.map_values(F.from_json(body, "map<string,variant>")))
+    of_list = strings(F.from_json(body, "array<variant>"))
+    single = F.when(body.startswith('"'), F.try_variant_get(F.try_parse_json(body), "$", "string"))
+    return F.coalesce(F.when(body.startswith("{"), F.array_join(of_map, "\n")), F.when(body.startswith("["), F.array_join(of_list, "\n")), single, text)
 
 
 def is_image(path: Column) -> Column:
@@ -69,7 +72,7 @@ def is_image(path: Column) -> Column:
 
 
 def is_text(path: Column) -> Column:
-    return F.lower(path).rlike(r"\.(txt|md)$")
+    return F.lower(path).rlike(r"\.txt$")
 
 
 def is_json(path: Column) -> Column:

@@ -139,7 +139,8 @@ def test_text_rules(spark):
     assert one(T.answer_normal(s("The  Quick, a fox!"))) == "quick fox"
     assert one(T.final_number(s("a 1,000 then 5."), False)) == "5." and one(T.final_number(s("#### 1,234"))) == "1234"
     assert one(T.any_three_in_line(F.array(*[F.struct(s(float(x)).alias("x"), s(float(x * 2)).alias("y")) for x in range(3)]))) is True
-    assert one(T.action_parts(s("move( 3 )")))["verb"] == "move" and one(T.action_parts(s(" stop ")))["arg"] == ""
+    assert tuple(one(T.action_parts(s("  MOVE  New York \n")))) == ("MOVE", "New York", None)
+    assert tuple(one(T.action_parts(s("Move 3")))) == ("Move", "3", 3) and tuple(one(T.action_parts(s(" STOP ")))) == ("STOP", None, None)
     assert one(T.step_score(s(3), s(1), s(4))) == 0.5
     with pytest.raises(Exception, match="no rule"):
         one(T.scored(s("zz"), {"a": s(1.0)}))
