@@ -12,32 +12,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.session import materialize
+
 #: Rows from which positions are counted per range instead of by one sort.
 RANGES_FROM = 1_000_000
 
 
 def with_position(df: DataFrame, *order: str, name: str = "pos", rows_per_range: int = RANGES_FROM) -> DataFrame:
-    """Adds the position of each row in the total order of ``order`` (nulls first).
+    """Adds the position of each row in the total order of ``order`` (nulls first), from 0.
 
-    Large frames are cut at approximate quantiles of the first column (a bounded list); rows are numbered within
-    ranges, and each range starts after the counted rows of those before it.
+    Frames of more than ``rows_per_range`` rows are cut into ranges of all the columns together, whatever their types, so that one
+    frequent value of the first is no large range; rows are numbered within ranges, and each range starts after the counted
+    rows of those before it (a list of at most 10,000 counts). Smaller frames are sorted in one task.
     """
-    first = F.col(order[0])
-    numeric = dict(df.dtypes)[order[0]] in ("int", "bigint", "double", "float", "smallint", "tinyint", "timestamp", "timestamp_ntz", "date")
     total = df.count()
-    if total <= rows_per_range or not numeric:
+    if total <= rows_per_range:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
-    cuts = min(10_000, total // rows_per_range + 1)
-    key = first.cast("double") if not dict(df.dtypes)[order[0]].startswith(("timestamp", "date")) else F.unix_micros(first.cast("timestamp")).cast("double")
-    bounds = sorted(set(df.agg(F.percentile_approx(key, [i / cuts for i in range(1, cuts)], 10_000).alias("b")).first().b or []))
-    part = F.coalesce(F.size(F.filter(F.lit(bounds), lambda b: b < key)), F.lit(0)) if bounds else F.lit(0)
-    ranged = df.withColumn("_r", F.when(key.isNull(), -1).otherwise(part))
+    ranged = df.repartitionByRange(min(10_000, total // rows_per_range + 1), *order).withColumn("_r", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
     sizes, offset, starts = {r["_r"]: r["n"] for r in ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("n")).collect()}, 0, []
     for k in sorted(sizes):
         starts.append((k, offset))
         offset += sizes[k]
-    lookup = F.create_map(*[F.lit(x) for pair in starts for x in pair])
-    return ranged.withColumn(name, F.element_at(lookup, F.col("_r")) + F.row_number().over(Window.partitionBy("_r").orderBy(*order)) - 1).drop("_r")
+    lookup = df.sparkSession.createDataFrame(starts, "_r int, _start bigint")
+    place = F.row_number().over(Window.partitionBy("_r").orderBy(*order)) - 1
+    return ranged.withColumn("_p", place).join(F.broadcast(lookup), "_r").withColumn(name, F.col("_start") + F.col("_p")).drop("_r", "_p", "_start")
 
 
 def select_columns(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -231,10 +230,11 @@ def padding(df: DataFrame, size: int, first: bool = True, pos: str = "pos") -> D
 
 def mini_batches(df: DataFrame, size: int, epochs: int = 1, seed: int | None = None, pos: str = "pos") -> DataFrame:
     """Adds ``epoch`` and ``batch``: each epoch holds every row once, in a seeded order (or as it stands)."""
+    n = df.count()
     out = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     key = F.col(pos) if seed is None else F.xxhash64(F.col(pos), F.col("epoch"), F.lit(seed))
-    rank = F.row_number().over(Window.partitionBy("epoch").orderBy(key, F.col(pos))) - 1
-    return out.withColumn("batch", F.floor(rank / size).cast("int"))
+    out = with_position(out.withColumn("_k", key), "epoch", "_k", pos, name="_n").drop("_k")
+    return out.withColumn("batch", F.floor((F.col("_n") - F.col("epoch") * n) / size).cast("int")).drop("_n")
 
 
 def collate(df: DataFrame, batch: str, pos: str = "pos") -> DataFrame:

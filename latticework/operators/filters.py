@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.operators.batch import with_position
+
 
 def within_length(df: DataFrame, text: str, most: int) -> DataFrame:
     """Rows of at most ``most`` white-space tokens; a null text counts as too long."""
@@ -65,12 +67,14 @@ def no_loops(df: DataFrame, source: str = "source_id", target: str = "target_id"
 def by_accuracy_and_length(df: DataFrame, group: str, score: str, length: str, low: float, high: float, most: int, oversample: int) -> DataFrame:
     """Passing groups first (mean score within [low, high], no row at the length limit), then a share of all rows.
 
-    Keeps ``rows // oversample`` rows, by (passing, group, row order within the group).
+    Keeps ``rows // oversample`` rows, by (passing, group, row order within the group). The share is cut by position, not by one
+    sort of all rows in a task.
     """
     w = Window.partitionBy(group)
     mean, longest = F.avg(score).over(w), F.max(length).over(w)
     rows = df.withColumn("passes", (mean >= low) & (mean <= high) & (longest < most))
-    return rows.orderBy(F.col("passes").desc(), group, *[c for c in df.columns if c != group]).limit(df.count() // oversample)
+    rows = with_position(rows.withColumn("_f", ~F.col("passes")), "_f", group, *[c for c in df.columns if c != group], name="_p")
+    return rows.where(F.col("_p") < df.count() // oversample).drop("_f", "_p")
 
 
 def varied_groups(df: DataFrame, group: str, metric: str) -> DataFrame:

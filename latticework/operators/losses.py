@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.operators.batch import with_position
 from latticework.functions.vec import clip
 
 M = F.col
@@ -134,13 +135,13 @@ def covariance(df: DataFrame) -> DataFrame:
 def top_covariance(df: DataFrame, share: float, order: list[str]) -> DataFrame:
     """Adds ``top``: whether a token is among the ``max(1, int(n share))`` of largest covariance.
 
-    The cut is an order statistic found by a bounded sort (``orderBy().limit()`` of the share), not by a window
-    over the whole frame; ties go by ``order``.
+    The cut is a position in the order of covariance, counted range by range; ties go by ``order``.
     """
     rows = covariance(df)
     n = df.agg(F.sum("m").alias("n")).first().n or 0
     k = max(1, int(n * share))
-    best = rows.where("cov is not null").orderBy(M("cov").desc(), *order).limit(k).select(*order, F.lit(True).alias("_top"))
+    best = rows.where("cov is not null").select(*order, (-M("cov")).alias("_less"))
+    best = with_position(best, "_less", *order, name="_p").where(M("_p") < k).select(*order, F.lit(True).alias("_top"))
     return rows.join(best, order, "left").withColumn("top", F.coalesce("_top", F.lit(False))).drop("_top")
 
 
@@ -157,7 +158,8 @@ def clip_cov(df: DataFrame, order: list[str], share: float = 0.002, low: float =
     rows = covariance(df).withColumns({"x": -M("adv") * q, "y": -M("adv") * clip(q, 1 - low, 1 + high)})
     n = df.agg(F.sum("m").alias("n")).first().n or 0
     band = rows.where((M("cov") > least) & (M("cov") < most) & ~(M("y") > M("x")))
-    drawn = band.orderBy(F.xxhash64(*order, F.lit(seed)), *order).limit(max(1, int(n * share))).select(*order, F.lit(0.0).alias("_c"))
+    band = band.select(*order, F.xxhash64(*order, F.lit(seed)).alias("_h"))
+    drawn = with_position(band, "_h", *order, name="_p").where(M("_p") < max(1, int(n * share))).select(*order, F.lit(0.0).alias("_c"))
     kept = rows.join(drawn, order, "left")
     return aggregate_loss(kept, F.greatest("x", "y") * F.coalesce("_c", F.lit(1.0)))
 

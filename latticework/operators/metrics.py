@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.operators.batch import with_position
+
 C = F.col
 
 
@@ -172,7 +174,7 @@ def combined_reward(long: DataFrame, row: str, metric: str, value: str, weights:
 def label_numbers(df: DataFrame, label: str) -> DataFrame:
     """(label, number): distinct labels numbered in order; text and number of the same look stay apart only by type."""
     distinct = df.select(label).where(C(label).isNotNull()).distinct()
-    return distinct.withColumn("number", F.dense_rank().over(Window.orderBy(label)) - 1)
+    return with_position(distinct, label, name="number").withColumn("number", C("number").cast("int"))
 
 
 def counts_by(df: DataFrame, key: str, value: str) -> DataFrame:

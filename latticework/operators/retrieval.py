@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 BLOCK = 1024
 
+#: Words: runs of letters and digits of any script.
+WORDS = r"[\p{L}\p{N}]+"
+
 #: Query vectors that are broadcast at most (8 bytes a value).
 BROADCAST_QUERIES = 8_192
 
@@ -25,6 +28,9 @@ BROADCAST_QUERIES = 8_192
 #: (term, query) entries of a query set that are broadcast at most.
 BROADCAST_TERMS = 100_000
 
+#: Scores (documents of a block times queries) that are held at once.
+SCORES = 4_000_000
+
 
 def _matrix(column: pd.Series, dim: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, dim))
@@ -65,9 +71,14 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine",
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qids, q = held.value
+            kept = None  # the best of the task so far; only these leave it
             for b in batches:
-                if len(qids) and len(b):
-                    yield best(qids, q, b["id"].to_numpy(), unit(_matrix(b["vector"], dim)))
+                for start in range(0, len(b) if len(qids) else 0, BLOCK):
+                    part = b.iloc[start : start + BLOCK]
+                    found = best(qids, q, part["id"].to_numpy(), unit(_matrix(part["vector"], dim)))
+                    kept = found if kept is None else _best_of(pd.concat([kept, found]), "qid", "sim", "id", k)
+            if kept is not None:
+                yield kept
 
         found = items.mapInPandas(scan, kinds)
     else:
@@ -86,6 +97,12 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine",
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _best_of(rows: pd.DataFrame, query: str, score: str, row: str, k: int) -> pd.DataFrame:
+    """The ``k`` rows of the highest score of each query, ties by smaller id."""
+    rows = rows.sort_values([query, score, row], ascending=[True, False, True], kind="stable")
+    return rows[rows.groupby(query, sort=False).cumcount() < k]
+
+
 def candidate_links(found: DataFrame, least: float) -> DataFrame:
     """(a, b): distinct unordered pairs of a top-k result (which counts the query itself) of at least ``least``."""
     pairs = found.where((F.col("sim") >= least) & (F.col("qid") != F.col("id")))
@@ -113,19 +130,19 @@ def sources_of(found: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term): lower-case runs of ASCII letters and digits; null texts have none."""
-    return df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), 0)).alias("term"))
+    """(key, term): lower-case runs of letters and digits; null texts have none."""
+    return df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORDS), 0)).alias("term"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 0.9, b: float = 0.4, digits: int = 4, most: int = BROADCAST_TERMS) -> DataFrame:
     """(qid, doc_id, score, rank): the ``k`` documents of the highest BM25 score for each query.
 
     ``docs`` has (doc_id, text), ``queries`` (qid, text). Term statistics cover all documents; each distinct query term
-    counts once; ties by smaller doc_id. While the queries' (term, query) entries are within ``most`` their matrix is
-    broadcast and documents are scored in blocks, each block keeping its best ``k`` per query; beyond it postings of
-    query terms are joined with the queries.
+    counts once; ties by smaller doc_id. While the queries' (term, query) entries are within ``most`` those entries are
+    broadcast and documents are scored in blocks, each task keeping its best ``k`` per query; beyond it postings of
+    query terms are joined with the queries. Words are runs of letters and digits of any script.
     """
-    found = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9]+"), 0)
+    found = F.regexp_extract_all(F.lower("text"), F.lit(WORDS), 0)
     words = docs.select("doc_id", found.alias("w")).where(F.size("w") > 0)
     total = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg")).first()
     n, avg = float(total.n or 0), float(total.avg or 1)
@@ -136,34 +153,39 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 0.9, b: fl
     by_score = Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc_id")
     scale = 10.0**digits
     if asked.limit(most + 1).count() <= most:
-        pairs = asked.join(df.withColumn("idf", idf), "term").select("qid", "term", "idf").toPandas()
-        vocabulary, column = {t: i for i, t in enumerate(sorted(set(pairs["term"])))}, {q: i for i, q in enumerate(sorted(set(pairs["qid"])))}
-        weights = np.zeros((len(vocabulary), len(column)))
-        weights[[vocabulary[t] for t in pairs["term"]], [column[q] for q in pairs["qid"]]] = pairs["idf"]
-        held = queries.sparkSession.sparkContext.broadcast((vocabulary, np.array(list(column)), weights))
-
-        def score_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            words, qids, w = held.value
-            find = re.compile("[a-z0-9]+").findall
+        pairs = asked.join(df.withColumn("idf", idf), "term").select("qid", "term", "idf").toPandas().sort_values(["term", "qid"])
+        qids = np.array(sorted(set(pairs["qid"])))
+        spots = np.searchsorted(qids, pairs["qid"].to_numpy()) if len(pairs) else np.zeros(0, dtype=np.int64)
+        terms_, first = np.unique(pairs["term"].to_numpy(dtype=object), return_index=True) if len(pairs) else (np.zeros(0, dtype=object), np.zeros(0, dtype=np.int64))
+        # sparse: for each term the place of its entries; as many entries as were counted
+        places = {t: (int(i), int(j)) for t, i, j in zip(terms_, first, [*first[1:], len(pairs)], strict=True)}
+        held = queries.sparkSession.sparkContext.broadcast((places, qids, spots, pairs["idf"].to_numpy(dtype=np.float64)))
+
+        def score_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            places, qids, spots, idfs = held.value
+            rows = max(1, min(2048, SCORES // max(1, len(qids))))
+            kept = None  # the best of the task so far; only these leave it
             for whole in batches:
-                for start in range(0, len(whole), 2048):
-                    block = whole.iloc[start : start + 2048]
-                    x = np.zeros((len(block), len(words)))
-                    for i, text in enumerate(block["text"]):
-                        found = Counter(find((text or "").lower()))
-                        dl = sum(found.values())
-                        for t in found.keys() & words.keys():
-                            f = found[t]
-                            x[i, words[t]] = f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avg))
-                    scores = np.floor(x @ w * scale + 0.5) / scale
-                    order = np.argsort(block["doc_id"].to_numpy(), kind="stable")
-                    ids, scores = block["doc_id"].to_numpy()[order], scores[order]
-                    top = np.argsort(-scores, axis=0, kind="stable")[:k]
-                    q = np.broadcast_to(np.arange(len(qids)), top.shape)
-                    out = pd.DataFrame({"qid": qids[q.ravel()], "doc_id": ids[top.ravel()], "score": scores[top.ravel(), q.ravel()]})
-                    yield out[out["score"] > 0]
-
-        found = docs.select("doc_id", "text").mapInPandas(score_block, f"qid {queries.schema['qid'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+                for start in range(0, len(whole) if len(qids) else 0, rows):
+                    block = whole.iloc[start : start + rows]
+                    at, value = [], []
+                    for i, found in enumerate(block["w"]):
+                        counts, dl = Counter(found), len(found)
+                        for t in counts.keys() & places.keys():
+                            f, (p, z) = counts[t], places[t]
+                            at.append(i * len(qids) + spots[p:z])
+                            value.append(idfs[p:z] * (f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avg))))
+                    if not at:
+                        continue
+                    scores = np.bincount(np.concatenate(at), np.concatenate(value), len(block) * len(qids)).reshape(len(block), -1)
+                    scores = np.floor(scores * scale + 0.5) / scale
+                    doc, q = np.nonzero(scores > 0)
+                    found = pd.DataFrame({"qid": qids[q], "doc_id": block["doc_id"].to_numpy()[doc], "score": scores[doc, q]})
+                    kept = _best_of(found if kept is None else pd.concat([kept, found]), "qid", "score", "doc_id", k)
+            if kept is not None:
+                yield kept
+
+        found = words.mapInPandas(score_blocks, f"qid {queries.schema['qid'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
         return found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     tf = terms(docs, "doc_id", "text").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     sizes = words.select("doc_id", F.size("w").alias("dl"))

@@ -219,7 +219,7 @@ SQL = {
         k AS (SELECT DISTINCT g FROM x WHERE (sd > 0 OR n = 1) AND g % 3 = 0 ORDER BY g LIMIT 200) SELECT g, ord FROM x WHERE g IN (SELECT g FROM k)""",
     "proj20_unprocessed": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "proj21_unmasked": f"WITH {TOKENS} SELECT g, coalesce(string_agg(CAST(CAST(floor(v) AS INTEGER) AS VARCHAR), ',' ORDER BY pos) FILTER (m = 1), '') AS ids FROM tk GROUP BY g",
-    "proj22_entities_of_sources": r"SELECT DISTINCT f.file, e.id FROM (SELECT DISTINCT attributes.chunk_id AS file FROM relation WHERE attributes.chunk_id LIKE '%\_01' ESCAPE '\') f JOIN (SELECT id, unnest(source) AS file FROM entity) e USING (file)",
+    "proj22_entities_of_sources": r"SELECT DISTINCT f.file, e.id FROM (SELECT DISTINCT attributes.chunk_id AS file FROM relation) f JOIN (SELECT id, unnest(source) AS file FROM entity) e USING (file)",
     "j07_align": f"WITH {RESPONSES} SELECT g AS uid, o_orderpriority AS priority, ord FROM sc JOIN orders ON o_orderkey = g",
     "j08_union_columns": _o("SELECT pos, o_orderkey, o_custkey, o_totalprice FROM ob"),
     "j08_conflicts": _o("SELECT 'o_orderkey' AS column, count(*) AS rows FROM ob WHERE pos % 10 = 0 UNION ALL SELECT 'o_custkey', 0"),

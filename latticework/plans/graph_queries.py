@@ -229,7 +229,7 @@ def resolved(names):
     names = materialize(names, "names")
     spellings = names.groupBy("name").agg(F.min("id").alias("at"))
     copies = names.join(spellings, "name").where("id <> at").select(F.col("at").alias("a"), F.col("id").alias("b"))
-    tokens = spellings.select(F.col("at").alias("id"), F.regexp_extract_all("name", F.lit("[a-z0-9]+"), 0).alias("tokens"))
+    tokens = spellings.select(F.col("at").alias("id"), F.regexp_extract_all("name", F.lit(R.WORDS), 0).alias("tokens"))
     classes = materialize(R.token_classes(tokens).join(spellings, F.col("id") == F.col("at")).select("id", "rep", "name"), "classes")
     links = R.token_links(tokens, 0.6)
     links = links.unionByName(classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct())

@@ -47,7 +47,7 @@ def _j10(spark, d):
 
 
 def _names(spark, d):
-    return table(spark, d, "entity", F.col("record_id").alias("id"), F.regexp_extract_all(F.lower("name"), F.lit("[a-z0-9]+"), 0).alias("tokens"))
+    return table(spark, d, "entity", F.col("record_id").alias("id"), F.regexp_extract_all(F.lower("name"), F.lit(R.WORDS), 0).alias("tokens"))
 
 
 def _j11(spark, d):
@@ -180,13 +180,13 @@ def _qm(ks=(1, 3, 5)) -> str:
 
 _NAMES = [f"{m}{k}" for k in (1, 3, 5) for m in ("p", "r", "ndcg")] + ["map", "mrr"]
 _AVG = ", ".join(f"{r(f'avg({c})')} AS {c}" for c in _NAMES)
-_BM = """tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY doc_id, term),
+_BM = """tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY doc_id, term),
     dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id), st AS (SELECT count(*) AS n, avg(dl) AS av FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    qt AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM eval_item),
+    qt AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM eval_item),
     sc AS (SELECT qid, tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * dl / av))) AS s
            FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY qid, tf.doc_id),
     bm AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT qid, doc_id, floor(s * 10000.0 + 0.5) / 10000.0 AS score FROM sc))"""
-_TOKENSETS = """ts AS (SELECT min(id) AS id, x FROM (SELECT record_id AS id, list_sort(list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+'))) AS x FROM entity) WHERE len(x) > 0 GROUP BY x),
+_TOKENSETS = """ts AS (SELECT min(id) AS id, x FROM (SELECT record_id AS id, list_sort(list_distinct(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+'))) AS x FROM entity) WHERE len(x) > 0 GROUP BY x),
     jl AS (SELECT a.id AS a, b.id AS b FROM ts a JOIN ts b ON a.id < b.id WHERE len(list_intersect(a.x, b.x)) >= 0.8 * (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))) - 1e-9)"""
 _ENT = "en AS (SELECT record_id AS id, any_value(attributes.embedding) AS embedding, any_value(source) AS source, any_value(level) AS level FROM entity WHERE len(attributes.embedding) = 64 AND len(list_filter(attributes.embedding, lambda v: v IS NULL OR isnan(v))) = 0 GROUP BY record_id)"
 
@@ -200,7 +200,8 @@ SQL = {
     "j10_similar_vectors": f"WITH t AS ({_top(5)}) SELECT DISTINCT least(qid, id) AS a, greatest(qid, id) AS b FROM t WHERE sim >= 0.8 AND qid <> id",
     "j11_similar_token_sets": f"WITH {_TOKENSETS} SELECT a, b FROM jl",
     "j11_token_set_classes": f"""WITH RECURSIVE {_TOKENSETS}, ed AS (SELECT a AS x, b AS y FROM jl UNION SELECT b, a FROM jl), w AS (SELECT DISTINCT x AS s, x AS node FROM ed UNION SELECT w.s, ed.y FROM w JOIN ed ON ed.x = w.node)
-        SELECT node, min(s) AS component FROM w GROUP BY node""",
+        , lb AS (SELECT node, min(s) AS component FROM w GROUP BY node), al AS (SELECT DISTINCT record_id, list_sort(list_distinct(regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}]+'))) AS x FROM entity)
+        SELECT record_id AS node, coalesce(component, ts.id) AS component FROM al JOIN ts USING (x) LEFT JOIN lb ON lb.node = ts.id""",
     "j13_gold_hits": f"WITH {_RANKED} SELECT qid, CAST(sum(rel) AS BIGINT) AS hits FROM rk GROUP BY qid",
     "j14_rerank_join": f"WITH t AS ({_top(5)}) SELECT qid, id, n_chars FROM t JOIN documents ON doc_id = id",
     "j15_load_documents": f"WITH {_BM} SELECT qid, doc_id, lang FROM bm JOIN documents USING (doc_id) WHERE rank <= 5",
