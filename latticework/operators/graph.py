@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.functions.vec import cosine, doubles, mean_vector
 from latticework.session import materialize
 
 C = F.col
@@ -239,12 +240,45 @@ def similarity_multiplier(similarity: Column, gamma: float) -> Column:
     return 1 + gamma * F.greatest(similarity, F.lit(0.0))
 
 
-def weighted_edges(edges: DataFrame, down: bool = False, moves: dict[str, float] | None = None) -> DataFrame:
-    """Adds ``w``: move weight times level weight times the rarity of the source, at least 1e-12."""
+def _attracted(edges: DataFrame, scores: DataFrame | None, beta: float) -> DataFrame:
+    """Adds ``_pull``: 1 + beta times the score of the node that an edge leads to, 1 where it has none."""
+    if scores is None or not beta:
+        return edges.withColumn("_pull", F.lit(1.0))
+    return edges.join(scores.select(C("id").alias("next"), C("score").alias("_s")), "next", "left").withColumn("_pull", 1 + beta * F.coalesce("_s", F.lit(0.0))).drop("_s")
+
+
+def weighted_edges(
+    edges: DataFrame, down: bool = False, moves: dict[str, float] | None = None, used: list[str] | None = None, vectors: DataFrame | None = None,
+    gamma: float = 0.0, scores: DataFrame | None = None, beta: float = 0.0,
+) -> DataFrame:
+    """Adds ``w``, the weight of an edge in ranking, at least 1e-12: move times level times rarity of the source, times the
+    novelty of the source beside those ``used``, the similarity of the two ends' ``vectors`` (id, vector) and the pull of ``scores``
+    (id, score). A factor without its data is 1, as is the novelty without ``used`` and the similarity of a missing vector.
+    """
     moves = moves or {"horizontal": 1.0, "vertical_down": 1.0, "vertical_up": 1.0}
     kind = reduce(lambda c, kv: F.when(C("move") == kv[0], kv[1]).otherwise(c), moves.items(), F.lit(1.0))
-    rows = edges.join(source_frequency(edges), "source", "left")
-    return rows.withColumn("w", F.greatest(kind * level_weight(C("move"), C("rise"), down) * rarity(C("n")), F.lit(1e-12))).drop("n")
+    rows = _attracted(edges.join(source_frequency(edges), "source", "left"), scores, beta)
+    near = F.lit(1.0)
+    if vectors is not None and gamma:
+        v = vectors.groupBy("id").agg(F.min("vector").alias("vector"))
+        rows = rows.join(v.select(C("id").alias("cur"), C("vector").alias("_x")), "cur", "left").join(v.select(C("id").alias("next"), C("vector").alias("_y")), "next", "left")
+        near = similarity_multiplier(cosine(doubles(C("_x")), doubles(C("_y")), 1e-12), gamma)
+    new = F.lit(1.0) if used is None else novelty(C("source"), F.array(*map(F.lit, used)).cast("array<string>"))
+    w = kind * level_weight(C("move"), C("rise"), down) * rarity(C("n")) * new * near * C("_pull")
+    return rows.withColumn("w", F.greatest(w, F.lit(1e-12))).drop("n", "_x", "_y", "_pull")
+
+
+def sampling_edges(edges: DataFrame, scores: DataFrame | None = None, beta: float = 0.0, used: list[str] | None = None, vectors: DataFrame | None = None, anchor: list[float] | None = None, gamma: float = 0.0) -> DataFrame:
+    """Adds ``w``, the weight of an edge in sampling, at least 1e-12: the pull of ``scores``, downward levels, the novelty of the
+    source and the similarity of the next node's vector to ``anchor``. What ranking has counted already is left out.
+    """
+    rows, near = _attracted(edges, scores, beta), F.lit(1.0)
+    if anchor is not None and vectors is not None and gamma:
+        v = vectors.groupBy("id").agg(F.min("vector").alias("_y"))
+        rows = rows.join(v.select(C("id").alias("next"), "_y"), "next", "left")
+        near = similarity_multiplier(cosine(doubles(C("_y")), F.array(*map(F.lit, map(float, anchor))), 1e-12), gamma)
+    new = novelty(C("source"), F.array(*map(F.lit, used or [])).cast("array<string>"))
+    return rows.withColumn("w", F.greatest(C("_pull") * level_weight(C("move"), C("rise"), True) * new * near, F.lit(1e-12))).drop("_y", "_pull")
 
 
 def page_rank(edges: DataFrame, nodes_: DataFrame, restart: float = 0.18, steps: int = 10) -> DataFrame:
@@ -274,22 +308,29 @@ def chosen_edge(weight: Column, *key: Column | str) -> Column:
     return F.ln(u) / weight
 
 
-def random_walks(edges: DataFrame, starts: DataFrame, walks: int = 3, length: int = 10, restart: float = 0.18, seed: int = 7) -> DataFrame:
+def random_walks(edges: DataFrame, starts: DataFrame, walks: int = 3, length: int = 10, restart: float = 0.18, seed: int = 7, gain: float = 0.5) -> DataFrame:
     """(id, visits, score): Monte-Carlo visits of ``walks`` seeded walks from each start.
 
-    Every step joins all walks with the out-edges of their node and keeps one by a seeded weighted choice; a walk
-    restarts with probability ``restart`` or where it cannot go on.
+    A walk counts the node it is at ``length`` times. After each count it restarts with probability ``restart``, or where it cannot
+    go on; else all walks are joined with the out-edges of their node and each keeps one by a seeded weighted choice. Sources that
+    a walk has not cited since its start are ``gain`` more likely; a restart forgets them. An even share of starts takes
+    the place of a random start for each walk.
     """
-    edges = materialize(edges.select("cur", "next", "key", "w"), "weights")
-    w = starts.select(C("id").alias("home")).distinct().withColumn("walk", F.explode(F.sequence(F.lit(1), F.lit(walks)))).withColumn("at", C("home"))
+    edges = materialize(edges.select("cur", "next", "key", "source", "w"), "weights")
+    none = F.array().cast("array<string>")
+    w = starts.select(C("id").alias("home")).distinct().withColumn("walk", F.explode(F.sequence(F.lit(1), F.lit(walks)))).withColumn("at", C("home")).withColumn("used", none)
     # one list of out-edges per node would be unbounded for a hub; the choice is an aggregation instead
     visits = w.select(C("at").alias("id"))
-    for step in range(length):
-        nxt = w.join(edges.select("cur", "next", "key", "w"), C("at") == C("cur")).groupBy("home", "walk").agg(
-            F.max_by("next", chosen_edge(C("w"), C("home"), C("walk"), C("key"), F.lit(seed * 1000 + step))).alias("to")
+    for step in range(length - 1):
+        weight = C("w") * novelty(C("source"), C("used"), gain)
+        moving = w.where(F.pmod(F.xxhash64("home", "walk", F.lit(seed * 2000 + step)), F.lit(1000)) >= int(restart * 1000))
+        nxt = moving.join(edges, C("at") == C("cur")).groupBy("home", "walk").agg(
+            F.max_by(F.struct("next", "source"), chosen_edge(weight, C("home"), C("walk"), C("key"), F.lit(seed * 1000 + step))).alias("to")
         )
-        stay = F.pmod(F.xxhash64("home", "walk", F.lit(seed * 2000 + step)), F.lit(1000)) < int(restart * 1000)
-        w = materialize(w.join(nxt, ["home", "walk"], "left").select("home", "walk", F.when(stay | C("to").isNull(), C("home")).otherwise(C("to")).alias("at")), "walks")
+        went = C("to").isNotNull()
+        cited = F.when(C("to")["source"].isNull(), C("used")).otherwise(F.array_distinct(F.array_append("used", C("to")["source"])))
+        w = w.join(nxt, ["home", "walk"], "left").select("home", "walk", F.when(went, C("to")["next"]).otherwise(C("home")).alias("at"), F.when(went, cited).otherwise(none).alias("used"))
+        w = materialize(w, "walks")
         visits = visits.unionByName(w.select(C("at").alias("id")))
     counted = visits.groupBy("id").agg(F.count(F.lit(1)).alias("visits"))
     all_visits = counted.agg(F.sum("visits").alias("x")).scalar()
@@ -328,13 +369,37 @@ def is_prefix(a: Column, b: Column) -> Column:
     return F.slice(b, F.lit(1), F.greatest(F.size(a), F.lit(1))) == a
 
 
-def path_pool(branches: DataFrame, least_sources: int = 1) -> DataFrame:
+def accepted_branches(branches: DataFrame, vectors: DataFrame | None = None, tau: float | None = None, chart_end: bool = False, dim: int = 64) -> DataFrame:
+    """The branches (center, branch, path) that may stand together: of those with one end node the first, with ``chart_end`` only
+    those whose last source is a chart, and with ``tau`` only those whose mean vector is that similar to the center's first
+    branch. A branch without vectors is kept.
+    """
+    end = F.element_at("path", -1)
+    rows = branches.where(F.size("path") > 0)
+    if chart_end:
+        rows = rows.where(F.coalesce(end["source"].contains("chart"), F.lit(False)))
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("center", end["next"]).orderBy("branch"))).where("_r = 1").drop("_r")
+    if tau is None or vectors is None:
+        return rows
+    rows = materialize(rows, "branches")
+    of_node = vectors.groupBy("id").agg(F.min("vector").alias("vector"))
+    nodes_of = rows.select("center", "branch", F.explode(F.array_distinct(F.array_append(C("path")["next"], C("center")))).alias("id"))
+    mean = nodes_of.join(of_node, "id").groupBy("center", "branch").agg(mean_vector(F.collect_list(doubles(C("vector"))), dim).alias("v"))  # of a branch's few nodes
+    mean = materialize(mean, "means")
+    first = rows.groupBy("center").agg(F.min("branch").alias("branch")).join(mean, ["center", "branch"]).select("center", C("v").alias("_f"))
+    judged = rows.join(mean, ["center", "branch"], "left").join(first, "center", "left")
+    return judged.where(F.coalesce(cosine(C("v"), C("_f"), 1e-12) >= tau, F.lit(True))).drop("v", "_f")
+
+
+def path_pool(branches: DataFrame, least_sources: int = 1, least_charts: int = 0) -> DataFrame:
     """(center, paths, sources, signature): each center's branches without those that start another, deduplicated by
-    signature over all centers (the smallest center stays), with at least ``least_sources`` distinct sources."""
+    signature over all centers (the smallest center stays), with at least ``least_sources`` distinct sources, of which
+    at least ``least_charts`` are charts."""
     per = branches.groupBy("center").agg(F.array_sort(F.collect_set("path")).alias("all"))
     kept = F.filter("all", lambda a: ~F.exists("all", lambda b: (F.size(b) > F.size(a)) & (F.slice(b, F.lit(1), F.size(a)) == a)))
     pool = per.withColumn("paths", kept).withColumn("sources", F.array_distinct(F.filter(F.flatten("paths")["source"], lambda s: s.isNotNull())))
-    pool = pool.where(F.size("sources") >= least_sources).withColumn("signature", F.md5(path_signature(C("paths"))))
+    pool = pool.where((F.size("sources") >= least_sources) & (F.size(F.filter("sources", lambda s: s.contains("chart"))) >= least_charts))
+    pool = pool.withColumn("signature", F.md5(path_signature(C("paths"))))
     return pool.withColumn("_r", F.row_number().over(Window.partitionBy("signature").orderBy("center"))).where("_r = 1").select("center", "paths", "sources", "signature")
 
 

@@ -99,12 +99,36 @@ def _g17(s, d):
     return G.page_rank(w, _nodes(s, d)).select("id", rnd(F.col("score"), 6).alias("score"))
 
 
+def _vectors(s, d):
+    """(id, vector) of the entities with a whole embedding."""
+    v = table(s, d, "entity", "id", F.col("attributes.embedding").alias("vector")).where(F.size("vector") == 64)
+    return v.where(~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
+
+
+def _m07(s, d):
+    scores = G.degrees(_edges(s, d), _nodes(s, d)).select("id", (F.col("degree") / 100).alias("score"))
+    moves = {"horizontal": 1.0, "vertical_down": 1.3, "vertical_up": 0.7}
+    w = G.weighted_edges(_edges(s, d), True, moves, ["chart_00001_01", "paragraph_00002_02"], _vectors(s, d), 0.5, scores, 2.0)
+    return w.select("key", rnd(F.col("w")).alias("w"))
+
+
+def _m08(s, d):
+    anchor = _vectors(s, d).orderBy("id", "vector").limit(1).first()
+    scores = materialize(_g17(s, d), "scores")
+    w = G.sampling_edges(_edges(s, d), scores, 20.0, ["chart_00001_01"], _vectors(s, d), list(anchor.vector) if anchor else None, 0.5)
+    return w.select("key", rnd(F.col("w")).alias("w"))
+
+
+def _seeds(s, d):
+    return G.seeds(_edges(s, d), _nodes(s, d), 400)
+
+
 def _branches(s, d):
-    return G.sample_branches(G.weighted_edges(_edges(s, d)), table(s, d, "entity_root", "id"))
+    return G.sample_branches(G.sampling_edges(_edges(s, d), _g17(s, d), 20.0), _seeds(s, d))
 
 
 def _paths(s, d):
-    return G.path_pool(_branches(s, d))
+    return G.path_pool(G.accepted_branches(_branches(s, d), _vectors(s, d), 0.45), 2)
 
 
 def _m01(s, d):
@@ -183,7 +207,7 @@ QUERIES = {
     "g15_relation_chunk": _g15,
     "g16_out_edges": lambda s, d: _edges(s, d).select("cur", "next", "key", "move"),
     "g17_page_rank": _g17,
-    "g17_random_walks": lambda s, d: G.random_walks(G.weighted_edges(_edges(s, d)), table(s, d, "entity_root", "id")),
+    "g17_random_walks": lambda s, d: G.random_walks(G.weighted_edges(_edges(s, d), vectors=_vectors(s, d), gamma=0.5), _seeds(s, d), 12),
     "g18_branches": lambda s, d: _branches(s, d).select("center", "branch", F.size("path").alias("hops")),
     "g19_sampled_paths": lambda s, d: _paths(s, d).select("center", F.size("sources").alias("sources")),
     "g20_pool_assignments": lambda s, d: G.pooled_assignments(_paths(s, d).select("center"), 3),
@@ -194,8 +218,8 @@ QUERIES = {
     "m04_source_rarity": lambda s, d: G.source_frequency(_edges(s, d)).select("source", rnd(G.rarity(F.col("n"))).alias("rarity")),
     "m05_level_weight": lambda s, d: _edges(s, d).select("key", rnd(G.level_weight(F.col("move"), F.col("rise"))).alias("w")),
     "m06_novelty": lambda s, d: _edges(s, d).select("key", rnd(G.novelty(F.col("source"), F.array(F.lit("chart_00001_01"), F.lit("paragraph_00002_02")))).alias("w")),
-    "m07_edge_weights": lambda s, d: G.weighted_edges(_edges(s, d), True, {"horizontal": 1.0, "vertical_down": 1.3, "vertical_up": 0.7}).select("key", rnd(F.col("w")).alias("w")),
-    "m08_sampling_weights": lambda s, d: _edges(s, d).join(G.degrees(_edges(s, d), _nodes(s, d)), F.col("next") == F.col("id")).select("key", rnd((1 + 0.1 * F.col("degree")) * G.level_weight(F.col("move"), F.col("rise")) * G.novelty(F.col("source"), F.array().cast("array<string>"))).alias("w")),
+    "m07_edge_weights": _m07,
+    "m08_sampling_weights": _m08,
     "m09_difficulty": _m09,
     "o05_seed_nodes": lambda s, d: G.seeds(_edges(s, d), _nodes(s, d), 400),
     "o06_start_nodes": lambda s, d: _g17(s, d).orderBy(F.col("score").desc(), "id").limit(300).select("id"),
@@ -264,6 +288,11 @@ _EXT = r"""ex AS (SELECT doc_id, json_transform(regexp_extract(text, '(?s)(\{"en
 _DEG = "dg AS (SELECT nd.id, count(ed.cur) AS degree FROM nd LEFT JOIN ed ON ed.cur = nd.id GROUP BY nd.id)"
 
 
+_VEC = "v AS (SELECT id, CAST(any_value(attributes.embedding) AS DOUBLE[]) AS v FROM entity WHERE len(attributes.embedding) = 64 AND len(list_filter(attributes.embedding, lambda x: x IS NULL OR isnan(x))) = 0 GROUP BY id)"
+_NEAR = "(1 + 0.5 * greatest(coalesce(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)) + 1e-12), 0), 0))"
+_NEW = "(CASE WHEN source IS NOT NULL AND source NOT IN ({}) THEN 1.5 ELSE 1.0 END)"
+
+
 def _e(body: str) -> str:
     return f"WITH {EDGES} {body}"
 
@@ -326,8 +355,8 @@ SQL = {
     "m04_source_rarity": _e(f", {_FREQ} SELECT source, {r(_RAR)} AS rarity FROM fq"),
     "m05_level_weight": _e(f"SELECT key, {r(_level('move', 'rise'))} AS w FROM ed"),
     "m06_novelty": _e(f"SELECT key, {r('''CASE WHEN source IS NOT NULL AND source NOT IN ('chart_00001_01', 'paragraph_00002_02') THEN 1.5 ELSE 1.0 END''')} AS w FROM ed"),
-    "m07_edge_weights": _e(f", {_FREQ} SELECT key, {r(f'''CASE move WHEN 'vertical_down' THEN 1.3 WHEN 'vertical_up' THEN 0.7 ELSE 1.0 END * {_level('move', 'rise')} * {_RAR}''')} AS w FROM ed LEFT JOIN fq USING (source)"),
-    "m08_sampling_weights": _e(f", {_DEG} SELECT key, {r(f'(1 + 0.1 * degree) * {_level("move", "rise")} * CASE WHEN source IS NOT NULL THEN 1.5 ELSE 1.0 END')} AS w FROM ed JOIN dg ON dg.id = next"),
+    "m07_edge_weights": _e(f", {_FREQ}, {_DEG}, {_VEC} SELECT key, {r(f'''(CASE move WHEN 'vertical_down' THEN 1.3 WHEN 'vertical_up' THEN 0.7 ELSE 1.0 END)::DOUBLE * ({_level('move', 'rise')})::DOUBLE * {_RAR} * {_NEW.format("'chart_00001_01', 'paragraph_00002_02'")}::DOUBLE * {_NEAR} * (1 + 2 * (degree / 100)::DOUBLE)''')} AS w FROM ed LEFT JOIN fq USING (source) JOIN dg ON dg.id = next LEFT JOIN v a ON a.id = cur LEFT JOIN v b ON b.id = next"),
+    "m08_sampling_weights": _rank_sql() + f", {_VEC} SELECT key, {r(f'''(1 + 20 * {r('score', 6)}) * {_level('move', 'rise')} * {_NEW.format("'chart_00001_01'")} * {_NEAR}''')} AS w FROM ed JOIN s10 ON s10.id = next LEFT JOIN (SELECT v FROM v ORDER BY id LIMIT 1) a ON TRUE LEFT JOIN v b ON b.id = next",
     "m09_difficulty": _e(""", a AS (SELECT cur, list_sort(list_distinct(list(source))) AS s FROM ed WHERE source IS NOT NULL GROUP BY cur),
         b AS (SELECT cur, s, list_filter(s, lambda v, i: i % 2 = 1) AS u FROM a)
         SELECT cur, CAST(len(list_filter(u, lambda v: contains(v, 'chart'))) + list_position(s, u[len(u)]) + least(greatest(len(s), 1), 3) AS INTEGER) AS difficulty FROM b"""),
