@@ -118,3 +118,69 @@ def chunked(df: DataFrame, key: str, text: str, chunker: Callable[[str], list[st
 def exact(answers: list, golds: list) -> list[float]:
     """1.0 for equal texts without regard to case and outer white space."""
     return [float(a is not None and g is not None and a.strip().lower() == g.strip().lower()) for a, g in zip(answers, golds, strict=True)]
+
+
+# --- time limits and named models -----------------------------------------------------------------------------------
+
+
+def limited(f: Callable, seconds: float, default: object = None) -> Callable:
+    """``f`` of one item, given up after ``seconds``: late or failing items give ``default``.
+
+    The limit interrupts Python code in the worker's main thread; where there is none, items run without a limit.
+    """
+    import signal
+    import threading
+
+    def run(*args: object) -> object:
+        if threading.current_thread() is not threading.main_thread():
+            try:
+                return f(*args)
+            except Exception:  # noqa: BLE001
+                return default
+
+        def late(*_: object) -> None:
+            raise TimeoutError
+
+        before = signal.signal(signal.SIGALRM, late)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        try:
+            return f(*args)
+        except Exception:  # noqa: BLE001
+            return default
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+
+    return run
+
+
+def managed_rewards(df: DataFrame, reward: Callable[[str, str], float], answer: str, gold: str, seconds: float = 300.0, ending: str | None = None) -> DataFrame:
+    """Adds ``reward`` of each row by a function of one answer and its gold one, 0.0 if it fails or takes longer than ``seconds``;
+    the ``ending`` mark of generation is cut off first."""
+    one = limited(lambda a, g: float(reward(a[: -len(ending)] if ending and a is not None and a.endswith(ending) else a, g)), seconds, 0.0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(reward=[one(a, g) for a, g in zip(b[answer], b[gold], strict=True)])
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("reward", T.DoubleType())]))
+
+
+#: Models by name: functions from a list of prompts to a list of texts.
+MODELS: dict[str, Callable[[list], list[str]]] = {}
+
+
+def register_model(name: str) -> Callable:
+    def keep(f: Callable) -> Callable:
+        MODELS[name] = f
+        return f
+
+    return keep
+
+
+def model_named(name: str) -> Callable[[list], list[str]]:
+    """The model of that name, or of the longest registered name that starts it; unknown names raise."""
+    known = [k for k in MODELS if name.lower().startswith(k.lower())]
+    if not known:
+        raise ValueError(f"unknown model {name}; known: {sorted(MODELS)}")
+    return MODELS[max(known, key=len)]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from latticework.plans import advantage_queries, batch_queries, grading_queries, graph_queries, loss_queries, metric_queries, retrieval_queries, skew_queries, stream_queries, text_queries
+from latticework.plans import advantage_queries, batch_queries, grading_queries, graph_queries, loss_queries, metric_queries, prepare_queries, retrieval_queries, skew_queries, stream_queries, text_queries
 
-MODULES = [skew_queries, advantage_queries, loss_queries, batch_queries, metric_queries, retrieval_queries, graph_queries, text_queries, grading_queries, stream_queries]
+MODULES = [skew_queries, advantage_queries, loss_queries, batch_queries, metric_queries, retrieval_queries, graph_queries, text_queries, grading_queries, prepare_queries, stream_queries]
 
 
 def queries() -> dict:

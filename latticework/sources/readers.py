@@ -6,7 +6,9 @@ Readers never infer a schema from data. Malformed JSON lines become rows of null
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import string
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,6 +117,46 @@ def run_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return rows.withColumn("step", F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).cast("int"))
 
 
+def rollouts(spark: SparkSession, folder: str, mask: str = "") -> DataFrame:
+    """(step, index, fields): every line of the JSON-lines files of a dump directory, whose names are steps.
+
+    ``fields`` maps names to texts: strings with what the regular expression ``mask`` matches replaced by ``*``, other values
+    as JSON. ``index`` counts a file's lines from 0; blank and broken lines are left out.
+    """
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    rows = lines.withColumn("v", F.from_json("value", "map<string,variant>")).where("v is not null")
+    place = F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1
+    as_string = lambda x: F.try_variant_get(x, "$", "string")
+    shown = lambda k, x: F.when(F.schema_of_variant(x) == "STRING", F.regexp_replace(as_string(x), mask, "*") if mask else as_string(x)).otherwise(F.to_json(x))
+    return rows.select(F.regexp_extract("file", r"(\d+)", 1).cast("int").alias("step"), place.alias("index"), F.transform_values("v", shown).alias("fields"))
+
+
+def prompt_templates(text: str) -> dict[str, str]:
+    """The templates of a YAML document, nested names joined by dots."""
+    import yaml  # optional dependency
+
+    def walk(node: object, name: str) -> dict[str, str]:
+        if isinstance(node, dict):
+            return {k: t for key, x in node.items() for k, t in walk(x, f"{name}.{key}" if name else str(key)).items()}
+        return {name: str(node)}
+
+    return walk(yaml.safe_load(text) or {}, "")
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with its ``{name}`` places filled; doubled braces stand for themselves, a null value for an empty text, and a
+    place without a value raises."""
+    parts = []
+    for literal, name, *_ in string.Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if name is not None:
+            if name not in values:
+                raise KeyError(name)
+            parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
+    return F.concat(*parts) if parts else F.lit("")
+
+
 def environments(spark: SparkSession, text: str) -> DataFrame:
     """(name, data_source, n_envs, max_turns): the list ``envs`` of a YAML document."""
     import yaml  # optional dependency

@@ -66,3 +66,19 @@ def add_columns(base: DataFrame, extra: DataFrame, key: str) -> DataFrame:
 def graph_frames(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node and edge tables as a drawing tool wants them."""
     return nodes.select("id", F.col("name").alias("label"), F.col("level").alias("group")), edges.select(F.col("cur").alias("from"), F.col("next").alias("to"), F.col("move").alias("label"))
+
+
+def append_batch(df: DataFrame, folder: str, batch: int) -> None:
+    """What one training batch adds to a growing data set, under ``batch=N``; writing a batch again replaces it."""
+    df.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+
+def grown_dataset(spark: SparkSession, base: DataFrame, folder: str, before: int | None = None) -> DataFrame:
+    """``base`` and the rows appended to it so far, or by batches below ``before``; columns that one side lacks are null."""
+    try:
+        more = spark.read.option("mergeSchema", "true").parquet(folder)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return base
+    return base.unionByName((more if before is None else more.where(F.col("batch") < before)).drop("batch"), allowMissingColumns=True)
