@@ -339,6 +339,10 @@ SQL = {
         (VALUES (0, 'START', 0.0), (1, 'EDGE_SEARCH', 7.0), (2, 'EDGE_SEARCH', 4.0), (3, 'MOVE', 7.0), (4, 'BACKWARD', 5.0), (5, 'FLY', 4.0), (6, 'STOP', 5.0)) a(step, action, reward)""",
     "e08_episode_totals": f"WITH {_EP} SELECT episode, 32.0::DOUBLE AS total, CAST(6 AS BIGINT) AS executed FROM rt",
     "e09_observation": f"WITH {GQ.EDGES}, o AS (SELECT cur, nd.name, row_number() OVER (PARTITION BY cur ORDER BY nd.name, key) AS k FROM ed JOIN nd ON nd.id = next WHERE nd.name IS NOT NULL) SELECT cur AS id, CAST(count(*) AS INTEGER) AS n, min(name) AS first FROM o GROUP BY cur",
+    "e10_rendered": f"""WITH {GQ.EDGES}, o AS (SELECT cur, nd.name AS n, move, source FROM ed JOIN nd ON nd.id = next WHERE nd.name IS NOT NULL),
+        p AS (SELECT *, first_value(source) OVER (PARTITION BY cur ORDER BY n, move, source NULLS FIRST) AS s0 FROM o)
+        SELECT cur AS id, md5(coalesce(string_agg(n, '; ' ORDER BY n, move, source NULLS FIRST) FILTER (s0 IS NULL OR source IS NULL OR source <> s0), '')) AS searchable,
+               md5(coalesce(string_agg(n, '; ' ORDER BY n, move, source NULLS FIRST) FILTER (source = s0), '')) AS forbidden FROM p GROUP BY cur""",
     "s06_file_kinds": "SELECT ori_id, p, regexp_matches(lower(p), '\\.(png|jpg|jpeg|gif|bmp)$') AS image, regexp_matches(lower(p), '\\.txt$') AS text FROM (SELECT DISTINCT ori_id, unnest(image_paths) AS p FROM chart_entry) WHERE p IS NOT NULL".replace("\\\\", "\\"),
     "s08_task_columns": _q("SELECT task_id, CAST(CASE WHEN gt_sources IS NULL THEN 0 WHEN starts_with(gt_sources, '[') THEN json_array_length(gt_sources) ELSE len(string_split(gt_sources, ',')) END AS INTEGER) AS n, CAST(CASE WHEN start_candidates IS NULL THEN 0 WHEN starts_with(start_candidates, '[') THEN json_array_length(start_candidates) ELSE 1 END AS INTEGER) AS starts FROM qa"),
     "k08_flattened": "SELECT DISTINCT id, attributes.description AS description, attributes.chunk_id AS chunk_id FROM relation",
