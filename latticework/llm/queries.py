@@ -90,6 +90,13 @@ QUERIES = {
     "p8_spans": p8_spans,
 }
 
+_LEAKS = r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[\x{ad}\x{200b}-\x{200f}\x{2060}-\x{206f}\x{feff}]', '', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
+        e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_item),
+        dg AS (SELECT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+        eg AS (SELECT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)"""
+
 SQL = {
     "p2_found": r"""
         WITH r AS (SELECT DISTINCT record_id, updated_at, attributes.description AS d, attributes.confidence AS c, source,
@@ -120,12 +127,8 @@ SQL = {
               FROM v a JOIN v b ON a.record_id <> b.record_id WHERE a.record_id % 100 = 0)
         SELECT query, other, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, other) AS INTEGER) AS rank FROM s)
         WHERE rank <= 5""",
-    "p7_found": r"""
-        WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[\x{ad}\x{200b}-\x{200f}\x{2060}-\x{206f}\x{feff}]', '', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
-        e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_item),
-        dg AS (SELECT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
-        eg AS (SELECT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e))
-        SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
+    "p7_found": _LEAKS,
+    "p7_clean": _LEAKS.replace("SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM dg JOIN eg USING (g))"),
     "p8_found": """
         WITH w AS (SELECT DISTINCT doc_id, hash(substring(text, CAST(i AS INTEGER), 360)) AS h
                    FROM (SELECT doc_id, text, unnest(range(1, length(text) - 358)) AS i FROM documents WHERE length(text) >= 360))
