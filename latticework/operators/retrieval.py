@@ -163,24 +163,45 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 0.9, b: fl
 
         def score_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             places, qids, spots, idfs = held.value
-            rows = max(1, min(2048, SCORES // max(1, len(qids))))
+            small = len(places) * len(qids) <= SCORES  # then one dense matrix is as good as the entries
+            rows = max(1, min(2048 if small else 256, SCORES // max(1, len(qids), len(places) if small else 1)))
+            number = {t: i for i, t in enumerate(places)}
+            start = np.array([p for p, _ in places.values()], dtype=np.int64)
+            length = np.array([z - p for p, z in places.values()], dtype=np.int64)
+            if small:
+                weights = np.zeros((len(places), len(qids)))
+                weights[np.repeat(np.arange(len(places)), length), spots] = idfs
             kept = None  # the best of the task so far; only these leave it
             for whole in batches:
-                for start in range(0, len(whole) if len(qids) else 0, rows):
-                    block = whole.iloc[start : start + rows]
-                    at, value = [], []
+                for begin in range(0, len(whole) if len(qids) else 0, rows):
+                    block = whole.iloc[begin : begin + rows]
+                    doc, term, value = [], [], []
                     for i, found in enumerate(block["w"]):
-                        counts, dl = Counter(found), len(found)
-                        for t in counts.keys() & places.keys():
-                            f, (p, z) = counts[t], places[t]
-                            at.append(i * len(qids) + spots[p:z])
-                            value.append(idfs[p:z] * (f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avg))))
-                    if not at:
+                        dl = len(found)
+                        for t, f in Counter(found).items():
+                            if (n_ := number.get(t)) is not None:
+                                doc.append(i)
+                                term.append(n_)
+                                value.append(f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avg)))
+                    if not doc:
                         continue
-                    scores = np.bincount(np.concatenate(at), np.concatenate(value), len(block) * len(qids)).reshape(len(block), -1)
+                    doc, term, value = np.array(doc), np.array(term), np.array(value)
+                    if small:
+                        x = np.zeros((len(block), len(places)))
+                        x[doc, term] = value
+                        scores = x @ weights
+                    else:
+                        each = length[term]
+                        entry = np.arange(each.sum()) + np.repeat(start[term] - np.cumsum(each) + each, each)
+                        at = np.repeat(doc * len(qids), each) + spots[entry]
+                        scores = np.bincount(at, np.repeat(value, each) * idfs[entry], len(block) * len(qids)).reshape(len(block), -1)
                     scores = np.floor(scores * scale + 0.5) / scale
-                    doc, q = np.nonzero(scores > 0)
-                    found = pd.DataFrame({"qid": qids[q], "doc_id": block["doc_id"].to_numpy()[doc], "score": scores[doc, q]})
+                    order = np.argsort(block["doc_id"].to_numpy(), kind="stable")
+                    ids, scores = block["doc_id"].to_numpy()[order], scores[order]
+                    top = np.argsort(-scores, axis=0, kind="stable")[:k]
+                    q = np.broadcast_to(np.arange(len(qids)), top.shape).ravel()
+                    found = pd.DataFrame({"qid": qids[q], "doc_id": ids[top.ravel()], "score": scores[top.ravel(), q]})
+                    found = found[found["score"] > 0]
                     kept = _best_of(found if kept is None else pd.concat([kept, found]), "qid", "score", "doc_id", k)
             if kept is not None:
                 yield kept
