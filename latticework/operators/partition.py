@@ -110,9 +110,22 @@ def media_parts(content: Column) -> Column:
 
 
 def shuffled_options(options: Column, key: Column, seed: int = 3) -> Column:
-    """Options in a pseudo-random order by an arithmetic hash of ``key`` and their place."""
-    n = F.size(options)
-    keyed = F.transform(options, lambda o, i: F.struct(F.pmod((key.cast("bigint") * 7919 + (i + 1) * 104729 + seed) * 2654435761, F.lit(4294967296)).alias("k"), o.alias("o")))
+    """Options in a pseudo-random order by an arithmetic hash of ``key`` and their place.
+
+    The hash is the remainder by 2**32 of (key * 7919 + place * 104729 + seed) * 2654435761, with the sign of that product.
+    Every factor is reduced first, so that no key of 64 bits overflows; 2654435761 is 40503 * 65536 + 31153.
+    """
+    n, whole = F.size(options), F.lit(4294967296)
+    k = key.cast("bigint")
+
+    def hashed(i: Column) -> Column:
+        add = (i + 1).cast("bigint") * 104729 + seed
+        x = F.pmod(F.pmod(k, whole) * 7919 + add, whole)
+        rest = F.pmod(F.pmod(x * 40503, F.lit(65536)) * 65536 + x * 31153, whole)
+        below = F.greatest(k, F.lit(-(2**40))) * 7919 < -add  # smaller keys are below 0 whatever is added
+        return F.when((k < 0) & below & (rest > 0), rest - whole).otherwise(rest)
+
+    keyed = F.transform(options, lambda o, i: F.struct(F.when(k.isNotNull(), hashed(i)).alias("k"), o.alias("o")))
     return F.when(n >= 0, F.transform(F.array_sort(keyed), lambda x: x["o"]))
 
 
