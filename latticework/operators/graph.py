@@ -430,9 +430,14 @@ def validated_answer(kind: Column, evidence: Column, pool: Column, charts: Colum
 
 
 def difficulty(paths: Column, used: Column, subjective: Column) -> Column:
-    """Charts used, plus the furthest hop at which used evidence stands, plus a rating bounded to 1..3 (2 if missing)."""
+    """Charts used, plus the furthest hop at which used evidence stands, plus a rating bounded to 1..3 (2 if missing).
+
+    The furthest hop is that of the last source, by first places, that is used: a pass over each path, none for each source.
+    """
     charts = F.size(F.filter(used, lambda s: s.contains("chart")))
-    hop = lambda b: F.coalesce(F.array_max(F.transform(used, lambda u: F.array_position(F.transform(b, lambda e: e["source"]), u))), F.lit(0))
+    sources = lambda b: F.transform(b, lambda e: e["source"])
+    last = lambda b: F.try_element_at(F.array_intersect(F.array_compact(sources(b)), used), F.lit(-1))
+    hop = lambda b: F.coalesce(F.array_position(sources(b), last(b)), F.lit(0))
     far = F.coalesce(F.array_max(F.transform(paths, hop)), F.lit(0))
     return (charts + far + F.coalesce(F.least(F.greatest(subjective, F.lit(1)), F.lit(3)), F.lit(2))).cast("int")
 

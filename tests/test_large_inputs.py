@@ -1,5 +1,9 @@
 """Keys and groups as larger tables have them."""
 
+import random
+import time
+
+from latticework.operators import graph as G
 from latticework.operators import partition as X
 from pyspark.sql import functions as F
 
@@ -14,3 +18,30 @@ def test_shuffled_options_of_any_key(spark):
     options = X.shuffled_options(F.array(*map(F.lit, "wxyz")), F.col("k"))
     got = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", F.array_join(options, "").alias("o")).collect()
     assert {r.k: r.o for r in got} == {k: want(k) for k in keys}
+
+
+def test_difficulty_equals_brute_force(spark):
+    random.seed(4)
+    some = lambda n: [random.choice(["chart_1", "chart_2", "p_1", "p_2", "p_3", "p_4", None]) for _ in range(random.randint(0, n))]
+    rows = [(i, [[(x,) for x in some(6)] for _ in range(random.randint(0, 3))], some(4), random.choice([0, 2, 9])) for i in range(200)]
+    rows += [(200, None, ["chart_1"], 1), (201, [None, [("chart_1",)]], ["chart_1"], 1)]
+
+    def want(paths, used, rated):
+        far = [b.index((u,)) + 1 for b in paths or [] if b for u in used if u is not None and (u,) in b]
+        return sum(u is not None and "chart" in u for u in used) + max(far, default=0) + min(max(rated, 1), 3)
+
+    df = spark.createDataFrame(rows, "i int, paths array<array<struct<source:string>>>, used array<string>, rated int")
+    got = {r.i: r.d for r in df.select("i", G.difficulty(F.col("paths"), F.col("used"), F.col("rated")).alias("d")).collect()}
+    assert got == {i: want(*r) for i, *r in rows}
+
+
+def test_difficulty_of_a_hub(spark):
+    """50,000 sources of one node; a search of the path for each of them took 135 s."""
+    n = 50_000
+    whole = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: F.format_string("chart_%06d", x))
+    df = spark.range(1).select(whole.alias("all")).cache()
+    df.count()
+    began = time.monotonic()
+    path = F.transform("all", lambda x: F.struct(x.alias("source")))
+    got = df.select(G.difficulty(F.array(path), F.filter("all", lambda x, i: i % 2 == 0), F.size("all")).alias("d")).first().d
+    assert got == n // 2 + n - 1 + 3 and time.monotonic() - began < 20
