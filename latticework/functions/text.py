@@ -25,14 +25,18 @@ def characters(s: Column) -> Column:
     return F.array_distinct(F.filter(F.split(s, ""), lambda c: c != ""))
 
 
-def names_alike(a: Column, b: Column) -> Column:
-    """No digit in the difference, and either an edit distance of at most half the shorter text or enough common
-    characters."""
-    x, y = characters(a), characters(b)
+def alike(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """An edit distance of at most half the shorter text, or enough common characters; ``x`` and ``y`` are the texts' characters."""
     most, common = F.greatest(F.size(x), F.size(y)), F.size(F.array_intersect(x, y))
     by_chars = F.when(most < 4, common > 1).otherwise(common / most >= 0.8)
     near = F.levenshtein(a, b) <= F.floor(F.least(F.length(a), F.length(b)) / 2)
-    return ~digit_in_difference(a, b) & (near | by_chars)
+    return near | by_chars
+
+
+def names_alike(a: Column, b: Column) -> Column:
+    """No digit in the difference, and either an edit distance of at most half the shorter text or enough common
+    characters."""
+    return ~digit_in_difference(a, b) & alike(a, b, characters(a), characters(b))
 
 
 def answer_normal(s: Column) -> Column:

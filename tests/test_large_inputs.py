@@ -5,6 +5,7 @@ import time
 
 from latticework.operators import graph as G
 from latticework.operators import partition as X
+from latticework.plans import graph_queries as Q
 from pyspark.sql import functions as F
 
 
@@ -45,3 +46,49 @@ def test_difficulty_of_a_hub(spark):
     path = F.transform("all", lambda x: F.struct(x.alias("source")))
     got = df.select(G.difficulty(F.array(path), F.filter("all", lambda x, i: i % 2 == 0), F.size("all")).alias("d")).first().d
     assert got == n // 2 + n - 1 + 3 and time.monotonic() - began < 20
+
+
+def _alike(a, b):
+    digits = lambda s: {s[i : i + 2] for i in range(len(s) - 1) if any(c in "0123456789" for c in s[i : i + 2])}
+    x, y = set(a.split()), set(b.split())
+    if digits(a) != digits(b) or len(x & y) < 0.6 * len(x | y) - 1e-9:
+        return False
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a):
+        last = row
+        row = [i + 1]
+        for j, d in enumerate(b):
+            row.append(min(last[j] + (c != d), last[j + 1] + 1, row[j] + 1))
+    common, most = len({*a} & {*b}), max(len({*a}), len({*b}))
+    return row[-1] <= min(len(a), len(b)) // 2 or (common > 1 if most < 4 else common / most >= 0.8)
+
+
+def test_resolution_equals_brute_force_in_any_number_of_turns(spark):
+    rng = random.Random(5)
+    short = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(5)]
+    far = ["".join(chr(rng.randint(97, 122)) for _ in range(9)) for _ in range(40)] + ["q" * 30, "jkvwxyz" * 6]
+    names = [f"{x} of the {y}" for x in far for y in ("up", "panel 7")] + [" ".join(rng.choices(short, k=rng.randint(1, 12))) + rng.choice(["", " 1", " 12"]) for _ in range(150)]
+    first = {}
+    for i, name in enumerate(names):
+        first.setdefault(name, i)
+    label = list(range(len(names)))
+    pairs = [(i, first[n]) for i, n in enumerate(names) if first[n] != i]
+    pairs += [(i, j) for a, i in first.items() for b, j in first.items() if i < j and _alike(a, b)]
+    for _ in names:
+        before = list(label)
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    want = {i: label[i] for p in pairs for i in p}
+    df = spark.createDataFrame(list(enumerate(names)), "id bigint, name string")
+    for turns in (0, 8):
+        assert {r.node: r.component for r in G.components(Q.resolved(df, most_turns=turns)).collect()} == want
+
+
+def test_resolution_of_one_template_makes_few_links(spark):
+    """400 names of three words in common are 79,800 similar pairs; as many links were made."""
+    names = [(i, "".join(chr(97 + (i // 20**k) % 20) for k in range(4)) + " institute of health") for i in range(400)]
+    links = Q.resolved(spark.createDataFrame(names, "id bigint, name string"))
+    assert links.count() < 1000
+    assert {r.component for r in G.components(links).collect()} == {0}
